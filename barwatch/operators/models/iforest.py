@@ -77,7 +77,7 @@ def grow(x: np.ndarray, rng: np.random.Generator) -> dict[str, list]:
 def fit(points: DataFrame, group: str, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = SEED) -> DataFrame:
     """One row per group and tree, nodes as arrays."""
 
-    def build(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(rows.sort_values("_draw")["features"])
         nodes = grow(x, np.random.default_rng([seed, int(key[1])]))
         return pd.DataFrame(

@@ -86,7 +86,8 @@ def score(rows: DataFrame, points: DataFrame, by: str | None, k: int = K, seed:
     if by:
         rows = join_parameters(rows, fit_groups(points, by, k, seed), [by])
     else:
-        rows = rows.withColumn("centres", F.lit(np.array(fit(points, k, seed))).cast("array<array<double>>"))
+        centres = [F.array(*[F.lit(x) for x in centre]) for centre in fit(points, k, seed)]
+        rows = rows.withColumn("centres", F.array(*centres))
     return assign(rows, F.col("centres")).drop("centres")
 
 

@@ -130,7 +130,7 @@ def fit_groups(points: DataFrame, group: str, nu: float = NU, count: int = FEATU
                 w, rho = s.point[:-1], s.point[-1]
                 value = 0.5 * (w @ w) - rho + weight * sums[1]
                 s.feed(value, np.concatenate([w - weight * sums[3:], [weight * sums[2] - 1.0]]))
-        fitted += [(key, fixed[key]["gamma"], s.best[:-1].tolist()) for key, s in searches.items()]
+        fitted += [(key, float(fixed[key]["gamma"]), s.best[:-1].tolist()) for key, s in searches.items()]
     return points.sparkSession.createDataFrame(fitted, f"{group} string, gamma double, w array<double>")
 
 

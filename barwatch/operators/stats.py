@@ -1,8 +1,8 @@
 """Feature statistics: correlation, pruning of collinear columns, scaling.
 
-One aggregate pass per table yields everything: a row per symbol with means,
-sample deviations and the correlation of each feature pair.  All aggregates
-combine on the map side, so a hot symbol costs no more than any other.
+One aggregate pass yields means and deviations per symbol, a second one the
+correlation of each feature pair.  Both combine on the map side, so a hot
+symbol costs no more than any other.
 """
 
 from __future__ import annotations
@@ -20,23 +20,40 @@ from barwatch.session import join_parameters, materialize
 CORRELATION_CUT = 0.95
 
 
-def feature_stats(df: DataFrame, by: list[str], features: list[str] = FEATURES) -> DataFrame:
-    """``n, mean[], std[], corr[]`` per group; ``corr`` in pair order, null if a side is constant."""
-    pairs = list(combinations(range(len(features)), 2))
-    sums = df.groupBy(*by).agg(
+def moments(df: DataFrame, by: list[str], features: list[str] = FEATURES) -> DataFrame:
+    """``n, mean[], std[]`` per group, with the sample deviation."""
+    return df.groupBy(*by).agg(
         F.count("*").alias("n"),
-        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(features)],
-        *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(features)],
-        *[F.covar_samp(features[i], features[j]).alias(f"c{i}_{j}") for i, j in pairs],
+        F.array(*[F.avg(c) for c in features]).alias("mean"),
+        F.array(*[F.stddev_samp(c) for c in features]).alias("std"),
     )
-    spread = lambda i, j: F.nullif(F.col(f"s{i}") * F.col(f"s{j}"), F.lit(0.0))
-    return sums.select(
-        *by,
-        "n",
-        F.array(*[F.col(f"m{i}") for i in range(len(features))]).alias("mean"),
-        F.array(*[F.col(f"s{i}") for i in range(len(features))]).alias("std"),
-        F.array(*[F.col(f"c{i}_{j}") / spread(i, j) for i, j in pairs]).alias("corr"),
+
+
+def with_z(df: DataFrame, by: list[str], features: list[str] = FEATURES) -> DataFrame:
+    """Add ``_n`` and the standardised features ``_z0, _z1, ...``, null where a column is constant."""
+    own = materialize(moments(df, by, features), "moments")
+    if by:
+        df = join_parameters(df, own, by, written=True)
+    else:
+        df = df.withColumns({c: own.select(c).scalar() for c in ("n", "mean", "std")})
+    scaled = {
+        f"_z{i}": (F.col(c) - F.col("mean")[i]) / F.nullif(F.col("std")[i], F.lit(0.0)) for i, c in enumerate(features)
+    }
+    return df.withColumns(scaled).withColumnRenamed("n", "_n").drop("mean", "std")
+
+
+def correlations(df: DataFrame, by: list[str], features: list[str] = FEATURES) -> DataFrame:
+    """``n`` and ``corr[]`` per group, in pair order; null if a side is constant.
+
+    ``df`` comes from :func:`with_z`: with both sides centred, plain sums of
+    products are as exact as a covariance aggregate and far cheaper.
+    """
+    pairs = list(combinations(range(len(features)), 2))
+    sums = df.groupBy(*by).agg(
+        F.count("*").alias("n"), *[F.sum(F.col(f"_z{i}") * F.col(f"_z{j}")).alias(f"p{i}_{j}") for i, j in pairs]
     )
+    degrees = F.nullif(F.col("n") - 1, F.lit(0))
+    return sums.select(*by, "n", F.array(*[F.col(f"p{i}_{j}") / degrees for i, j in pairs]).alias("corr"))
 
 
 def pooled_correlation(stats: DataFrame) -> DataFrame:
@@ -55,8 +72,8 @@ def pooled_correlation(stats: DataFrame) -> DataFrame:
 def correlation_matrix(df: DataFrame, by: list[str], features: list[str] = FEATURES) -> DataFrame:
     """Long form: one row per group and feature pair."""
     names = [F.struct(F.lit(a).alias("col_i"), F.lit(b).alias("col_j")) for a, b in combinations(features, 2)]
-    stats = feature_stats(df, by, features)
-    return stats.select(*by, F.inline(F.arrays_zip(F.array(*names).alias("pair"), F.col("corr")))).select(
+    own = correlations(with_z(df, by, features), by, features)
+    return own.select(*by, F.inline(F.arrays_zip(F.array(*names).alias("pair"), F.col("corr")))).select(
         *by, "pair.col_i", "pair.col_j", "corr"
     )
 
@@ -83,8 +100,8 @@ def selected_names(mask: Column, features: list[str] = FEATURES) -> Column:
 
 def select_features(df: DataFrame, cut: float = CORRELATION_CUT) -> list[str]:
     """The columns a single model over ``df`` uses."""
-    stats = feature_stats(df, [SYMBOL])
-    return pooled_correlation(stats).select(selected_names(keep_mask(F.col("corr"), cut)).alias("f")).first()["f"]
+    own = correlations(with_z(df, [SYMBOL]), [SYMBOL])
+    return pooled_correlation(own).select(selected_names(keep_mask(F.col("corr"), cut)).alias("f")).first()["f"]
 
 
 def assemble(columns: list[str]) -> Column:
@@ -118,28 +135,17 @@ def model_input(featured: DataFrame, by: str | None, ddof: int = 1, cut: float =
     the population deviation.  Also adds ``group_rows``, the rows of the model
     the row belongs to.
     """
-    stats = materialize(feature_stats(featured, [SYMBOL]), "stats")
-    n = F.col("n")
-    std = F.col("std") if ddof else F.transform("std", lambda s: s * F.sqrt((n - 1) / n))
+    scaled = with_z(featured, [SYMBOL])
+    own = materialize(correlations(scaled, [SYMBOL]), "correlations")
     if by:
-        mask, rows_of = keep_mask(F.col("corr"), cut), n
+        params = own.select(SYMBOL, keep_mask(F.col("corr"), cut).alias("_keep"))
+        scaled = join_parameters(scaled, params, [SYMBOL]).withColumn("group_rows", F.col("_n"))
     else:
-        pooled = pooled_correlation(stats).select(keep_mask(F.col("corr"), cut).alias("keep")).first()
-        total = stats.agg(F.sum("n")).first()[0] or 0
-        mask, rows_of = F.array(*[F.lit(k) for k in pooled["keep"]]), F.lit(total)
-    params = stats.select(
-        SYMBOL,
-        F.col("mean").alias("_mean"),
-        std.alias("_std"),
-        mask.alias("_keep"),
-        rows_of.cast("long").alias("group_rows"),
-    )
-    joined = join_parameters(featured, params, [SYMBOL])
-    scaled = F.array(
-        *[
-            F.coalesce((F.col(c) - F.col("_mean")[i]) / F.nullif(F.col("_std")[i], F.lit(0.0)), F.lit(0.0))
-            for i, c in enumerate(FEATURES)
-        ]
-    )
-    chosen = F.filter(scaled, lambda x, i: F.get("_keep", i))
-    return joined.withColumn("features", chosen).drop("_mean", "_std", "_keep")
+        keep = pooled_correlation(own).select(keep_mask(F.col("corr"), cut).alias("keep")).first()["keep"]
+        total = own.agg(F.sum("n")).first()[0]
+        scaled = scaled.withColumns({"_keep": F.array(*[F.lit(k) for k in keep]), "group_rows": F.lit(total)})
+    widen = F.lit(1.0) if ddof else F.sqrt(F.col("_n") / F.nullif(F.col("_n") - 1, F.lit(0)))
+    z = [f"_z{i}" for i in range(len(FEATURES))]
+    every = F.array(*[F.coalesce(F.col(c) * widen, F.lit(0.0)) for c in z])
+    chosen = F.filter(every, lambda x, i: F.get("_keep", i))
+    return scaled.withColumn("features", chosen).drop("_keep", "_n", *z)

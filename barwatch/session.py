@@ -41,14 +41,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_parameters(rows: DataFrame, params: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def join_parameters(
+    rows: DataFrame, params: DataFrame, on: list[str], how: str = "inner", written: bool = False
+) -> DataFrame:
     """Join a table of per-group parameters to many rows.
 
-    ``params`` is written out and counted first.  Up to ``BROADCAST_ROWS`` it
+    ``params`` is written out (unless it was already) and counted first.  Up to ``BROADCAST_ROWS`` it
     is broadcast, so the rows do not move; a larger one is left to a shuffle
     join, where adaptive execution splits hot keys.
     """
-    params = materialize(params, "params")
+    if not written:
+        params = materialize(params, "params")
     if params.count() <= BROADCAST_ROWS:
         params = F.broadcast(params)
     return rows.join(params, on, how)
