@@ -73,7 +73,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("event_id").cast("string").alias("run_id"),
         F.col("user_id").cast("string").alias("user_id"),
-        F.col("ts").alias("run_timestamp"),
+        F.col("ts").cast("timestamp").alias("run_timestamp"),
         F.concat(F.lit("upload_"), F.col("event_id").cast("string"), F.lit(".csv")).alias("original_filename"),
         # Every seventh record lacks a symbol, every fifth an anomaly count.
         F.when(F.col("event_id") % 7 != 0, F.upper("event_type")).alias("stock_symbol"),
