@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from barwatch.operators.series import HALO_ROWS, Series
 
 _NEGLIGIBLE = 44.0  # nats of decay after which older rows no longer show
+_LARGEST = 500.0  # nats by which a term may be scaled
 _LONG_GAP = 60.0  # a gap that decays more than this forgets its past
 
 
@@ -33,6 +34,8 @@ def block_rows(alpha: float) -> int:
     rows = 1024
     while rows * slowest < _NEGLIGIBLE:
         rows *= 2
+    while rows * -math.log(q) > _LARGEST:
+        rows //= 2
     return rows
 
 

@@ -89,6 +89,6 @@ def display(runs: DataFrame) -> DataFrame:
         F.coalesce("stock_symbol", F.lit("N/A")).alias("stock_symbol"),
         "original_filename",
         model_label(F.col("model_used")).alias("model"),
-        F.col("summary.anomalies_found").alias("anomalies_found"),
+        F.coalesce(F.col("summary.anomalies_found"), F.lit(0)).alias("anomalies_found"),
         "results_filename",
     )

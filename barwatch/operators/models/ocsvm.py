@@ -21,8 +21,8 @@ from barwatch.operators.models.grouped import in_turns, score_groups, sum_over_r
 NU = 0.05
 
 FEATURE_COUNT, SEED, MAX_ITER = 1024, 42, 80
-# Width over which the hinge is rounded off, relative to the margin's scale.
-_ROUNDING = 0.01
+# Width over which the hinge is rounded off, relative to the starting margin.
+_ROUNDING = 0.05
 _MEMORY = 12
 _TOLERANCE = 1e-4
 _CHUNK = 4096
@@ -36,7 +36,7 @@ def fourier_features(x: np.ndarray, gamma: float, count: int, seed: int) -> np.n
 
 
 def _spread_sums(x: np.ndarray, _) -> np.ndarray:
-    return np.array([x.size, x.sum(), (x * x).sum()])
+    return np.array([len(x), x.size, x.sum(), (x * x).sum()], dtype=float)
 
 
 def _loss_sums(x: np.ndarray, at: dict) -> np.ndarray:
@@ -45,8 +45,8 @@ def _loss_sums(x: np.ndarray, at: dict) -> np.ndarray:
     for i in range(0, len(x), _CHUNK):
         z = fourier_features(x[i : i + _CHUNK], at["gamma"], len(at["w"]), at["seed"])
         short = at["rho"] - z @ at["w"]
-        pull = np.clip(short / _ROUNDING, 0.0, 1.0)
-        loss += (pull * (short - 0.5 * _ROUNDING * pull)).sum()
+        pull = np.clip(short / at["width"], 0.0, 1.0)
+        loss += (pull * (short - 0.5 * at["width"] * pull)).sum()
         slope += pull.sum()
         pulled += pull @ z
     return np.concatenate([[len(x), loss, slope], pulled])
@@ -98,28 +98,26 @@ def fit_groups(points: DataFrame, group: str, nu: float = NU, count: int = FEATU
     fitted = []
     for turn in in_turns(points.select(group).distinct(), (2 * _MEMORY + 8) * count * 8):
         fixed = {}
-        for key, (entries, total, squares) in sum_over_rows(rows, dict.fromkeys(turn), _spread_sums).items():
+        for key, (count_rows, entries, total, squares) in sum_over_rows(rows, dict.fromkeys(turn), _spread_sums).items():
             spread = squares / entries - (total / entries) ** 2
-            # 1 / (columns * variance); the columns follow from the first pass below.
-            fixed[key] = {"entries": entries, "spread": spread if spread > 0 else 1.0}
-        counted = sum_over_rows(rows, dict.fromkeys(turn), lambda x, _: np.array([float(len(x))]))
-        for key, own in fixed.items():
-            own["rows"] = counted[key][0]
-            own["gamma"] = own["rows"] / (own["entries"] * own["spread"])
+            # 1 / (columns * variance over all entries)
+            fixed[key] = {"gamma": count_rows / (entries * (spread if spread > 0 else 1.0)), "width": 1.0}
 
         def ask(searches: dict[str, Descent]) -> dict[str, np.ndarray]:
             at = {
-                key: {"gamma": fixed[key]["gamma"], "w": s.point[:-1], "rho": s.point[-1], "seed": seed}
+                key: {**fixed[key], "w": s.point[:-1], "rho": s.point[-1], "seed": seed}
                 for key, s in searches.items()
             }
             return sum_over_rows(rows, at, _loss_sums)
 
-        # Start from the mean of all rows: the solution in which every row counts.
-        far = Descent(np.concatenate([np.zeros(count), [1.0]]))
+        # Start from the mean of all rows: the solution in which every row
+        # counts.  With w = 0 and a margin beyond the width, each row pulls by 1.
+        far = Descent(np.concatenate([np.zeros(count), [2.0]]))
         means = ask(dict.fromkeys(fixed, far))
         searches = {}
         for key, sums in means.items():
             w = sums[3:] / sums[2]
+            fixed[key]["width"] = _ROUNDING * (w @ w)
             searches[key] = Descent(np.concatenate([w, [0.5 * (w @ w)]]))
         for _ in range(MAX_ITER):
             open_searches = {key: s for key, s in searches.items() if not s.done}

@@ -203,9 +203,9 @@ def history_record(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _flat(runs: DataFrame, *extra: str) -> DataFrame:
-    return runs.select(
-        "run_id", "user_id", "run_timestamp", "stock_symbol", "model_used", "summary.anomalies_found", *extra
-    )
+    found = F.coalesce(F.col("summary.anomalies_found"), F.lit(0)).alias("anomalies_found")
+    symbol = F.coalesce("stock_symbol", F.lit("N/A")).alias("stock_symbol")
+    return runs.select("run_id", "user_id", "run_timestamp", symbol, "model_used", found, *extra)
 
 
 def standardize(spark: SparkSession, sf_dir: str, ddof: int) -> DataFrame:

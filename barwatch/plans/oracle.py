@@ -145,7 +145,8 @@ _RUNS = """runs AS (
          event_id || '_results.csv' AS results_filename
   FROM events)"""
 
-_RUN_COLUMNS = "run_id, user_id, run_timestamp, stock_symbol, model_used, anomalies_found"
+_RUN_COLUMNS = """run_id, user_id, run_timestamp, coalesce(stock_symbol, 'N/A') AS stock_symbol, model_used,
+  coalesce(anomalies_found, 0) AS anomalies_found"""
 
 
 def _title(text: str) -> str:
@@ -356,7 +357,8 @@ def oracle_sql() -> dict[str, str]:
         "history_display": _with(_RUNS)
         + f"""SELECT run_id, strftime(run_timestamp, '%b %d, %Y %H:%M') AS run_time,
         strftime(run_timestamp, '%b %d, %Y') AS run_date, coalesce(stock_symbol, 'N/A') AS stock_symbol,
-        original_filename, {_title("model_used")} AS model, anomalies_found, results_filename FROM runs""",
+        original_filename, {_title("model_used")} AS model,
+        coalesce(anomalies_found, 0) AS anomalies_found, results_filename FROM runs""",
         "model_label": f"""SELECT {_title("event_type || '_one_class_SVM'")} AS label, count(*)::BIGINT AS runs
         FROM events GROUP BY event_type""",
     }
