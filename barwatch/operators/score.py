@@ -16,6 +16,8 @@ CONTAMINATION = 0.05
 
 # A group of values this large may be ranked by one window task.
 RANKED_ROWS = 500_000
+# Resolution of the sketches that narrow a quantile down.
+_STEPS = 1_000
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -93,18 +95,26 @@ def exact_quantile(
         (target - F.floor(target)).alias("part"),
     )
     bounds = materialize(bounds, "bounds")
-    grid = [i / 100 for i in range(101)]
-    while not bounds.where((F.col("inside") > ranked_rows) & (F.col("lo") < F.col("hi"))).isEmpty():
+    grid = [i / _STEPS for i in range(_STEPS + 1)]
+    left = None
+    while True:
+        wide = bounds.where((F.col("inside") > ranked_rows) & (F.col("lo") < F.col("hi")))
+        inside = wide.agg(F.sum("inside")).first()[0] or 0
+        # Where copies of one value fill the bounds they stop closing in; the
+        # copies collapse below, and what else is left is a few steps' worth.
+        if not inside or (left is not None and inside > 0.9 * left):
+            break
+        left = inside
         sketch = _within(values, bounds, by).groupBy(*by).agg(
-            F.percentile_approx("v", grid, 10_000).alias("grid"),
+            F.percentile_approx("v", grid, 100 * _STEPS).alias("grid"),
             *[F.first(c).alias(c) for c in ("n", "lo", "hi", "below", "inside", "rank", "part")],
         )
         # One grid step of slack on each side is 100 times the sketch's error.
-        step = lambda rank: F.floor((rank - F.col("below")) / F.col("inside") * 100)
+        step = lambda rank: F.floor((rank - F.col("below")) / F.col("inside") * _STEPS)
         narrow = sketch.select(
             *by, "n", "rank", "part",
             F.greatest("lo", F.get("grid", F.greatest(step(F.col("rank")) - 1, F.lit(0)).cast("int"))).alias("new_lo"),
-            F.least("hi", F.get("grid", F.least(step(F.col("rank") + 1) + 2, F.lit(100)).cast("int"))).alias("new_hi"),
+            F.least("hi", F.get("grid", F.least(step(F.col("rank") + 1) + 2, F.lit(_STEPS)).cast("int"))).alias("new_hi"),
         )
         counted = _with_bounds(values, narrow, by).groupBy(*by).agg(
             *[F.first(c).alias(c) for c in ("n", "rank", "part")],
