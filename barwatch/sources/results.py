@@ -80,7 +80,7 @@ def history_record(
 def append_history(record: DataFrame, path: str) -> bool:
     """Append to the history; a failure is logged and does not stop the run."""
     try:
-        record.to(HISTORY_SCHEMA).write.mode("append").parquet(path)
+        record.select(*HISTORY_SCHEMA.names).to(HISTORY_SCHEMA).write.mode("append").parquet(path)
         return True
     except Exception:
         log.exception("Failed to save analysis to history")
