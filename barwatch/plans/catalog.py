@@ -21,7 +21,7 @@ from barwatch.operators.series import Series, lay_out
 from barwatch.plans import adaptors as tables
 from barwatch.plans.detect import detect_anomalies
 from barwatch.schema import FEATURES, INDICATORS, OHLCV, SYMBOL
-from barwatch.session import materialize, scratch_dir
+from barwatch.session import join_parameters, materialize, scratch_dir
 from barwatch.sources import prices as px
 from barwatch.sources import results
 
@@ -254,7 +254,7 @@ def embedding_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = entries.groupBy("label", "place").agg(F.avg("x").alias("x")).groupBy("label").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda e: e["x"]).alias("centre")
     )
-    joined = vectors.join(means, "label")
+    joined = join_parameters(vectors, means, ["label"])
     distance = F.sqrt(sc.squared_distance(F.col("features"), F.col("centre")))
     return rounded(joined.select("vec_id", "label", distance.alias("distance")))
 

@@ -33,7 +33,7 @@ def prices(spark, days=400):
     rows = []
     for s, level in [("A", 20.0), ("B", 900.0)]:
         close = level * np.exp(np.cumsum(rng.normal(0, 0.01, days)))
-        close[200] *= 1.6
+        close[days // 2] *= 1.6
         for i, c in enumerate(close):
             day = dt.date(2020, 1, 1) + dt.timedelta(days=i)
             rows.append((s, day, float(c), float(c * 1.01), float(c * 0.98), float(c * 0.995), int(rng.integers(100, 999))))
