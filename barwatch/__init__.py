@@ -1,0 +1 @@
+"""Unusual days in price series, on PySpark."""

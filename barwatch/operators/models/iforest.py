@@ -92,14 +92,15 @@ def forest_score(x: np.ndarray, forest: list[dict]) -> np.ndarray:
     """Close to 1 where few splits isolate a row, below 0.5 where many do."""
     depth = np.zeros(len(x))
     at = np.arange(len(x))
-    for tree in forest:
+    # In a fixed order, so that sums agree to the last bit.
+    for tree in sorted(forest, key=lambda t: t["tree"]):
         feature, split = np.array(tree["feature"]), np.array(tree["split"])
         below, above = np.array(tree["below"]), np.array(tree["above"])
         node = np.zeros(len(x), dtype=np.int64)
         for _ in range(int(np.ceil(np.log2(max(tree["drawn"], 2))))):
             node = np.where(x[at, feature[node]] <= split[node], below[node], above[node])
         depth += np.array(tree["path"])[node]
-    drawn = np.mean([mean_path(tree["drawn"]) for tree in forest])
+    drawn = mean_path(forest[0]["drawn"])
     return 2.0 ** (-depth / len(forest) / max(drawn, 1e-12))
 
 

@@ -1,0 +1 @@
+"""Empty: the feature set has no streaming part."""
