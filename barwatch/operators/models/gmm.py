@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from barwatch.operators.models.grouped import in_turns, score_groups, sum_over_rows
 from barwatch.operators.models.kmeans import seed_rows
 from barwatch.operators.score import ambiguity
+from barwatch.session import ship_package
 
 # Components, seed, and the library defaults of the fit.
 K, SEED, MAX_ITER, TOL = 5, 1, 100, 0.01
@@ -80,6 +81,7 @@ def _start(rows: pd.DataFrame, k: int, seed: int) -> tuple[np.ndarray, np.ndarra
 def fit_groups(points: DataFrame, group: str, k: int = K, seed: int = SEED) -> DataFrame:
     """One mixture per group by expectation maximisation; all groups advance together."""
     spark = points.sparkSession
+    ship_package(spark)
 
     def start(rows: pd.DataFrame) -> pd.DataFrame:
         weights, means, covs = _start(rows, k, seed)

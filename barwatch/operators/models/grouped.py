@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from barwatch.session import ship_package
+
 # Parameters held on the driver at once; more groups are fitted in turns.
 DRIVER_BYTES = 1 << 30
 
@@ -39,6 +41,7 @@ def sum_over_rows(
 ) -> dict[str, np.ndarray]:
     """``sum(step(matrix, params[group]))`` per group over all ``(group, features)`` rows."""
     spark = rows.sparkSession
+    ship_package(spark)
     shared = spark.sparkContext.broadcast(params)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,6 +99,7 @@ def score_groups(
     Groups are dealt over as many tasks as their ``group_rows`` ask for, and
     the parameters are copied to each, so a hot group does not meet in one.
     """
+    ship_package(rows.sparkSession)
     share = F.ceil(F.col("group_rows") / ROWS_PER_TASK)
     dealt = rows.withColumn("_deal", F.pmod(F.xxhash64(group, "_pos"), share))
     counts = rows.groupBy(group).agg(F.first("group_rows").alias("group_rows"))

@@ -14,6 +14,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barwatch.operators.models.grouped import score_groups, to_matrix, unit_hash
+from barwatch.session import ship_package
 
 # Trees, rows per tree, seed, and the constant of the harmonic number.
 TREES, TREE_ROWS, SEED = 100, 256, 42
@@ -84,6 +85,7 @@ def fit(points: DataFrame, group: str, trees: int = TREES, tree_rows: int = TREE
             {group: [key[0]], "tree": [int(key[1])], **{name: [v] for name, v in nodes.items()}, "drawn": [len(x)]}
         )
 
+    ship_package(points.sparkSession)
     samples = tree_samples(points, group, trees, tree_rows, seed)
     return samples.groupBy(group, "tree").applyInPandas(build, f"{group} string, {_TREE_SCHEMA}")
 

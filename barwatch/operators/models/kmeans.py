@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from barwatch.operators.models.grouped import in_turns, sum_over_rows, unit_hash
 from barwatch.operators.score import distance_to_centre, nearest_centre
-from barwatch.session import join_parameters
+from barwatch.session import join_parameters, ship_package
 
 # Clusters, seed, and the library defaults of the fit.
 K, SEED, MAX_ITER, TOL = 5, 42, 20, 1e-4
@@ -52,6 +52,7 @@ def _cluster_sums(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 def fit_groups(points: DataFrame, group: str, k: int = K, seed: int = SEED) -> DataFrame:
     """Centres of one model per group; all groups advance together."""
     spark = points.sparkSession
+    ship_package(spark)
 
     def start(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({group: rows[group].iloc[:1], "centres": [_spread_out(rows, k, seed)]})

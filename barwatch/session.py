@@ -7,6 +7,8 @@ loss of executors, and later passes read only the columns they need.
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -18,6 +20,18 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 50_000
 
 _local_scratch: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="barwatch-package-"), "barwatch")
+    sc.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(package), os.path.basename(package)))
+    _shipped.add(sc.applicationId)
 
 
 def scratch_dir(spark: SparkSession) -> str:
