@@ -24,7 +24,8 @@ FEATURE_COUNT, SEED, MAX_ITER = 1024, 42, 80
 # Width over which the hinge is rounded off, relative to the starting margin.
 _ROUNDING = 0.05
 _MEMORY = 12
-_TOLERANCE = 1e-4
+# A step that lowers the loss by less than this share ends the search.
+_TOLERANCE = 1e-5
 _CHUNK = 4096
 
 
@@ -74,8 +75,9 @@ class Descent:
                 moved, bent = self.point - self.best, slope - self.slope
                 if moved @ bent > 1e-12:
                     self.past.append((moved, bent))
+            settled = self.value - value < _TOLERANCE * abs(value)
             self.best, self.value, self.slope, self.step = self.point, value, slope, 1.0
-            self.done = np.linalg.norm(slope) < _TOLERANCE
+            self.done = bool(settled or not slope.any())
             self.direction = -self._precondition(slope)
         self.point = self.best + self.step * self.direction
 
