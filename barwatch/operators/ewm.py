@@ -26,15 +26,19 @@ def alpha_from(span: float | None = None, com: float | None = None) -> float:
     return 2.0 / (span + 1.0) if span is not None else 1.0 / (1.0 + com)
 
 
-def block_rows(alpha: float) -> int:
-    """Rows after which the past is negligible, whatever share of them is null."""
+def slowest_decay(alpha: float) -> float:
+    """Nats per row that a series forgets at least, however its nulls lie."""
     q = 1.0 - alpha
     horizon = int(60 / -math.log(q)) + 1
-    slowest = min(math.log1p(alpha * q**-k) / k for k in range(1, horizon + 1))
+    return min(math.log1p(alpha * q**-k) / k for k in range(1, horizon + 1))
+
+
+def block_rows(alpha: float) -> int:
+    """Rows after which the past is negligible, within the range of a double."""
     rows = 1024
-    while rows * slowest < _NEGLIGIBLE:
+    while rows * slowest_decay(alpha) < _NEGLIGIBLE:
         rows *= 2
-    while rows * -math.log(q) > _LARGEST:
+    while rows * -math.log(1.0 - alpha) > _LARGEST:
         rows //= 2
     return rows
 
@@ -71,6 +75,8 @@ def ewm_means(series: Series, specs: dict[str, tuple[str, float]], first_rows: i
     """
     if series.gapless:
         return _gapless_means(series, specs, first_rows)
+    if any(block_rows(a) * slowest_decay(a) < _NEGLIGIBLE for _, a in specs.values()):
+        raise ValueError("a decay this slow needs a series without nulls")
     pos = F.col("_pos")
     rows = series.rows
     before = series.window().rowsBetween(Window.unboundedPreceding, -1)

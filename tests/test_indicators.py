@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from barwatch.operators.ewm import alpha_from, block_rows, ewm_means, levels_for, with_blocks
+from barwatch.operators.ewm import alpha_from, block_rows, ewm_means, levels_for, slowest_decay, with_blocks
 from barwatch.operators.features import engineer_features
 from barwatch.operators.series import fill_forward, lay_out
 from barwatch.schema import INDICATORS
@@ -164,9 +164,19 @@ def test_smoothed_mean_over_a_null_run_longer_than_a_halo(spark):
 def test_blocks_forget_enough_and_fit_a_double():
     for alpha in [0.01, 1 / 14, 2 / 27, 2 / 13, 0.2, 0.5, 0.99]:
         rows = block_rows(alpha)
-        assert (1 - alpha) ** -float(rows) < 1e250
-        worst = min(np.log1p(alpha * (1 - alpha) ** -float(k)) / k for k in range(1, 60))
-        assert worst * rows >= 44
+        assert 1e19 < (1 - alpha) ** -float(rows) < 1e250
+        if alpha > 0.03:
+            assert slowest_decay(alpha) * rows >= 44
+
+
+def test_very_slow_decay_needs_a_series_without_nulls(spark):
+    closes = walk(3000, 30)
+    series = lay_out(make_prices(spark, {"x": closes}), bounded=True)
+    with pytest.raises(ValueError):
+        ewm_means(with_blocks(series, levels_for([0.01])), {"y": ("Close", 0.01)})
+    whole = lay_out(make_prices(spark, {"x": closes}), bounded=True, gapless=True)
+    got = ewm_means(with_blocks(whole, levels_for([0.01])), {"y": ("Close", 0.01)}).result().orderBy("_pos").toPandas()["y"]
+    np.testing.assert_allclose(got, pd.Series(closes).ewm(alpha=0.01, adjust=False).mean(), rtol=1e-10)
 
 
 def test_rsi_small_cases(spark):
