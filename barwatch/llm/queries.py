@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barwatch.llm import lines, mixing, shards
+from barwatch.llm import classifier, lines, mixing, randomness, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": classifier.op2_quality,
     "op3_byte_shards": shards.op3_byte_shards,
     "op4_line_frequency": lines.op4_line_frequency,
     "op9_mixing": mixing.op9_mixing,
+    "op10_secrets": randomness.op10_secrets,
 }
 
 SQL: dict[str, str] = {
