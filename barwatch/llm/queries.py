@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barwatch.llm import classifier, lines, mixing, randomness, shards
+from barwatch.llm import classifier, containment, lines, mixing, randomness, shards, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": classifier.op2_quality,
     "op3_byte_shards": shards.op3_byte_shards,
     "op4_line_frequency": lines.op4_line_frequency,
+    "op6_simhash": simhash.op6_simhash,
+    "op7_decontamination": containment.op7_decontamination,
     "op9_mixing": mixing.op9_mixing,
     "op10_secrets": randomness.op10_secrets,
 }
 
 SQL: dict[str, str] = {
     "op4_line_frequency": lines.OP4_SQL,
+    "op7_decontamination": containment.OP7_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }

@@ -80,7 +80,7 @@ def grid_cells(prints: DataFrame, masks: list[np.uint64]) -> DataFrame:
             found = np.asarray(batch.column("print")).view(np.uint64)
             counts = unary_counts(found)
             for i, mask in enumerate(masks):
-                mixed = (counts & mask) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i) * np.uint64(0xC2B2AE3D27D4EB4F)
+                mixed = (counts & mask) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i * 0xC2B2AE3D27D4EB4F % (1 << 64))
                 mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
                 yield pa.RecordBatch.from_arrays([pa.array((mixed ^ (mixed >> np.uint64(29))).view(np.int64)), batch.column("print")], ["cell", "print"])
 
