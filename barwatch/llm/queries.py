@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barwatch.llm import classifier, containment, lines, mixing, randomness, shards, simhash
+from barwatch.llm import classifier, containment, fmindex, lines, mixing, randomness, runindex, shards, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_run_index": runindex.op1_run_index,
     "op2_quality": classifier.op2_quality,
     "op3_byte_shards": shards.op3_byte_shards,
     "op4_line_frequency": lines.op4_line_frequency,
+    "op5_fm_index": fmindex.op5_fm_index,
     "op6_simhash": simhash.op6_simhash,
     "op7_decontamination": containment.op7_decontamination,
     "op9_mixing": mixing.op9_mixing,
@@ -20,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op4_line_frequency": lines.OP4_SQL,
+    "op5_fm_index": fmindex.OP5_SQL,
     "op7_decontamination": containment.OP7_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
