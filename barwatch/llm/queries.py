@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barwatch.llm import classifier, containment, fmindex, lines, mixing, randomness, runindex, shards, simhash
+from barwatch.llm import classifier, containment, fmindex, licences, lines, mixing, randomness, runindex, shards, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_run_index": runindex.op1_run_index,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_fm_index": fmindex.op5_fm_index,
     "op6_simhash": simhash.op6_simhash,
     "op7_decontamination": containment.op7_decontamination,
+    "op8_licences": licences.op8_licences,
     "op9_mixing": mixing.op9_mixing,
     "op10_secrets": randomness.op10_secrets,
 }
