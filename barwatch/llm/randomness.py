@@ -135,14 +135,15 @@ def cut_points(counts: np.ndarray, rate: float = RATE) -> np.ndarray:
     ``counts[size, bin]`` counts p-values.  Random tokens spread evenly over
     all bins and others gather near 0, so the upper half shows how many random
     ones a bin has.  A cut holds if at most ``rate`` of the tokens above it
-    are more than that.
+    are more than that and one standard deviation.
     """
     cuts = np.full(len(counts), BINS)
     for i, row in enumerate(counts):
         even = row[BINS // 2 :].sum() / (BINS - BINS // 2)
         above = np.cumsum(row[::-1])[::-1]
         false = np.maximum(above - even * (BINS - np.arange(BINS)), 0)
-        holds = np.flatnonzero((above > 0) & (false <= rate * above))
+        chance = np.sqrt(even * (BINS - np.arange(BINS)))  # of the number of random ones; it fades as tokens grow many
+        holds = np.flatnonzero((above > 0) & (false <= rate * above + chance))
         if len(holds):
             cuts[i] = holds[0]
     return cuts
