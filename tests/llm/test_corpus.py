@@ -239,7 +239,7 @@ def test_licence_base_and_rules(spark):
         assert got.n_words[i] == len(terms) and sorted((b.start, b.label) for b in (got.base[i] if got.base[i] is not None else [])) == want
     labels = {i: [s.label for s in got.spans[i]] for i in (1, 2, 3, 5)}
     assert labels == {1: ["mit", "cc-by", "cc-by"], 2: ["apache"], 3: ["mit", "gpl", "gpl"], 5: ["cc-by-nc-sa"]}
-    assert [(s.start, s.end) for s in got.spans[2]] == [(0, 7)] and len(got.spans[7]) == 2000
+    assert [(s.start, s.end) for s in got.spans[2]] == [(0, 8)] and len(got.spans[7]) == 2000
     assert len(list(licences.rules())) > 200
 
 
@@ -258,8 +258,8 @@ def test_random_tokens_are_told_from_words(spark):
     plain = ["".join(rng.choice(("the", "er", "ing", "and", "tion")) for _ in range(10)) + "Page2" for _ in range(300)]
     docs = documents(spark, [(i, f"see {t} here", "a") for i, t in enumerate(secret + plain)])
     got = randomness.scan_secrets(docs).toPandas().set_index("doc_id")
-    found = got.spans.apply(len)
-    assert found[:300].mean() > 0.9 and found[300:].mean() < 0.05
+    found = got.sort_index().spans.apply(len)
+    assert found.iloc[:300].mean() > 0.9 and found.iloc[300:].mean() < 0.05
     assert all(s[0].start == 4 and s[0].kind == 3 for s in got.spans if len(s))
 
 
