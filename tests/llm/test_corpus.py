@@ -239,7 +239,7 @@ def test_licence_base_and_rules(spark):
         assert got.n_words[i] == len(terms) and sorted((b.start, b.label) for b in (got.base[i] if got.base[i] is not None else [])) == want
     labels = {i: [s.label for s in got.spans[i]] for i in (1, 2, 3, 5)}
     assert labels == {1: ["mit", "cc-by", "cc-by"], 2: ["apache"], 3: ["mit", "gpl", "gpl"], 5: ["cc-by-nc-sa"]}
-    assert [(s.start, s.end) for s in got.spans[2]] == [(0, 8)] and len(got.spans[7]) == 2000
+    assert [(s.start, s.end) for s in got.spans[2]] == [(0, 8)] and len(got.spans[7]) == 3999
     assert len(list(licences.rules())) > 200
 
 
