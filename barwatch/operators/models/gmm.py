@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwatch.operators.models.grouped import in_turns, score_groups, sum_over_rows
+from barwatch.operators.models.grouped import in_turns, score_groups, sum_over_rows, to_matrix
 from barwatch.operators.models.kmeans import seed_rows
 from barwatch.operators.score import ambiguity
 from barwatch.session import ship_package
@@ -20,16 +19,6 @@ K, SEED, MAX_ITER, TOL = 5, 1, 100, 0.01
 _SEEDING_ROWS = 200
 
 
-def fit(points: DataFrame, k: int = K, seed: int = SEED):
-    """One mixture over all rows."""
-    vectors = points.select(array_to_vector("features").alias("features"))
-    return GaussianMixture(featuresCol="features", k=k, seed=seed).fit(vectors)
-
-
-def centres(model) -> list[list[float]]:
-    return [row["mean"].toArray().tolist() for row in model.gaussiansDF.select("mean").collect()]
-
-
 def _mixture(weights: np.ndarray, means: np.ndarray, covs: np.ndarray) -> dict[str, np.ndarray]:
     """Whitening matrices and log constants; directions without spread are left out."""
     values, vectors = np.linalg.eigh(covs)
@@ -120,23 +109,44 @@ def fit_groups(points: DataFrame, group: str, k: int = K, seed: int = SEED) -> D
     return spark.createDataFrame(fitted, f"{group} string, means array<double>, whiten array<double>, logs array<double>")
 
 
-def _score_group(x: np.ndarray, own: list[dict]) -> dict:
-    k, d = len(own[0]["logs"]), x.shape[1]
-    mix = {
-        "means": np.array(own[0]["means"]).reshape(k, d),
-        "whiten": np.array(own[0]["whiten"]).reshape(k, d, d),
-        "logs": np.array(own[0]["logs"]),
+def from_lists(row: dict) -> dict[str, np.ndarray]:
+    """A mixture as the passes use it, from a row of :func:`fit_groups`."""
+    k = len(row["logs"])
+    d = len(row["means"]) // k
+    return {
+        "means": np.array(row["means"]).reshape(k, d),
+        "whiten": np.array(row["whiten"]).reshape(k, d, d),
+        "logs": np.array(row["logs"]),
     }
+
+
+def assign(x: np.ndarray, mix: dict) -> dict[str, np.ndarray]:
+    """The most probable component of each row and its probability."""
     share, _ = _posterior(x, mix)
     return {"cluster": share.argmax(axis=1).astype(np.int32), "max_prob": share.max(axis=1)}
 
 
+def _score_group(x: np.ndarray, own: list[dict]) -> dict:
+    return assign(x, from_lists(own[0]))
+
+
+def score_with(rows: DataFrame, mix: dict[str, np.ndarray]) -> DataFrame:
+    """Add ``cluster`` and ``max_prob`` under one mixture; the rows do not move."""
+    ship_package(rows.sparkSession)
+
+    @F.arrow_udf("struct<cluster:int,max_prob:double>")
+    def assigned(features: pa.Array) -> pa.Array:
+        found = assign(to_matrix(features), mix) if len(features) else {"cluster": np.empty(0, np.int32), "max_prob": np.empty(0)}
+        return pa.StructArray.from_arrays([pa.array(found[n]) for n in ("cluster", "max_prob")], ["cluster", "max_prob"])
+
+    return rows.withColumn("_found", assigned("features")).select("*", "_found.*").drop("_found")
+
+
 def score(rows: DataFrame, points: DataFrame, by: str | None, k: int = K, seed: int = SEED) -> DataFrame:
-    """Add ``cluster`` and ``distance``."""
+    """Add ``cluster`` and ``distance``; without ``by`` one mixture over all rows, fitted like a group of its own."""
     if by:
         scored = score_groups(rows, fit_groups(points, by, k, seed), by, _score_group, "cluster int, max_prob double")
     else:
-        model = fit(points, k, seed).setFeaturesCol("_vector").setPredictionCol("cluster").setProbabilityCol("_shares")
-        scored = model.transform(rows.withColumn("_vector", array_to_vector("features")))
-        scored = scored.withColumn("max_prob", F.array_max(vector_to_array("_shares"))).drop("_vector", "_shares")
+        only = fit_groups(points.withColumn("_all", F.lit("all")), "_all", k, seed).first()
+        scored = score_with(rows, from_lists(only.asDict()))
     return scored.withColumn("distance", ambiguity(F.col("max_prob"))).drop("max_prob")
