@@ -44,15 +44,18 @@ def add_rsi_and_macd(series: Series) -> Series:
         series,
         {"_fast": ("Close", alpha_from(span=MACD_FAST)), "_slow": ("Close", alpha_from(span=MACD_SLOW))},
     )
+    # While a price stands still, gains and losses fade alike and their ratio
+    # keeps.  So RSI is taken where the price moves, where the newest term
+    # dwarfs all that the blocks cut off, and stands until the next move.  The
+    # early half of a halo has too little before it.
+    moved = (F.col("_change") != 0) & (~F.col("_early") if series.chunked else F.lit(True))
     rows = series.rows.withColumns(
         {
-            "RSI_14": ind.relative_strength("_ema_up", "_ema_down"),
+            "RSI_14": F.when(moved, ind.relative_strength("_ema_up", "_ema_down")),
             "MACD": F.col("_fast") - F.col("_slow"),
         }
     )
     series = ewm_means(series.with_rows(rows), {"MACD_Signal": ("MACD", alpha_from(span=MACD_SIGNAL))})
-    # While a price stands still, gains and losses fade alike and their ratio
-    # keeps; once both are below the block horizon the last RSI stands in.
     series = fill_forward(series, ["RSI_14"])
     return series.with_rows(series.rows.drop("_change", "_up", "_down", "_ema_up", "_ema_down", "_fast", "_slow"))
 

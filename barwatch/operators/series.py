@@ -30,7 +30,7 @@ class Series:
     keys: tuple[str, ...]
     order: tuple[str, ...]
     gapless: bool = False  # known to have no null Close
-    still_halo: bool = False  # some halo shows no change of Close at all
+    still_halo: bool = False  # the later half of some halo may show no change of Close
 
     @property
     def chunked(self) -> bool:
@@ -46,7 +46,7 @@ class Series:
         """Each input row once: halo copies removed."""
         if not self.chunked:
             return self.rows
-        return self.rows.where(~F.col("_halo")).drop("_chunk", "_halo")
+        return self.rows.where(~F.col("_halo")).drop("_chunk", "_halo", "_early")
 
 
 def total_order(df: DataFrame) -> list[str]:
@@ -113,15 +113,17 @@ def _chunk(df: DataFrame, order: list[str], gapless: bool, chunk_rows: int, halo
         placed.withColumn("_own", F.floor(F.col("_pos") / chunk_rows))
         .withColumn("_chunk", F.explode(copies))
         .withColumn("_halo", F.col("_chunk") > F.col("_own"))
+        .withColumn("_early", F.col("_halo") & (F.pmod("_pos", F.lit(chunk_rows)) < chunk_rows - halo_rows // 2))
         .drop("_own", "_id", "_run", "_first", "_offset")
     )
+    # Without nulls, two values of Close mean a change.
     still = (
-        rows.where("_halo")
+        rows.where("_halo and not _early")
         .groupBy(SYMBOL, "_chunk")
         .agg(F.coalesce(F.max("Close") == F.min("Close"), F.lit(True)).alias("still"))
         .where("still")
     )
-    return Series(rows, (SYMBOL, "_chunk"), ("_pos",), gapless, not still.isEmpty())
+    return Series(rows, (SYMBOL, "_chunk"), ("_pos",), gapless, not gapless or not still.isEmpty())
 
 
 def fill_forward(series: Series, columns: list[str]) -> Series:

@@ -112,6 +112,15 @@ def test_rsi_stands_while_the_price_does(spark):
     np.testing.assert_allclose(a.RSI_14.loc[want.index], want, rtol=1e-9)
 
 
+@pytest.mark.parametrize("layout", [{}, {"bounded": True}, {"bounded": True, "gapless": True}, {"series_rows": 100, "chunk_rows": 4096}])
+@pytest.mark.parametrize("nulls", [0.0, 0.01])
+def test_rsi_is_exact_over_a_long_rest(spark, layout, nulls):
+    if nulls and "gapless" in layout:
+        pytest.skip("the layout promises no nulls")
+    closes = walk(4098, 17, nulls) + [50.0] * 5000 + walk(60, 18, nulls)
+    check(spark, {"x": closes, "y": walk(100, 19) + [70.0] * 8200 + walk(5, 20)}, **layout)
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
     st.lists(
