@@ -26,6 +26,8 @@ BITS = 4  # at most so many differ in a link
 WORDS = 4
 SEED = 42
 SEGMENTS = 32
+CELL_LOAD = 32  # fingerprints that meet by chance in a cell, about
+SMALL = 256  # up to this size, cells are first searched for any link, all together
 CELL_ROWS = 4096  # fingerprints compared in one piece
 _ODD = np.uint64(0x5555555555555555)
 _ONE = np.uint64(1)
@@ -66,9 +68,9 @@ def band_masks(bands: int, bits: int) -> list[np.uint64]:
 
 
 def bands_for(rows: int, bits: int) -> int:
-    """The fewest bands whose cells hold about one fingerprint each, at 1.5 bits of choice a segment."""
+    """The fewest bands whose cells hold few fingerprints each, at 1.5 bits of choice a segment."""
     bands = bits + 2
-    while bands < SEGMENTS and comb(bands + 1, bits) <= 1000 and 2.0 ** (1.5 * SEGMENTS * (bands - bits) / bands) < rows:
+    while bands < SEGMENTS and comb(bands + 1, bits) <= 1000 and CELL_LOAD * 2.0 ** (1.5 * SEGMENTS * (bands - bits) / bands) < rows:
         bands += 1
     return bands
 
@@ -114,13 +116,18 @@ def _linked(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
         if len(rows):
             cut = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(1)) + 1
             starts, ends = np.append(0, cut), np.append(cut, len(rows))
-            prints = rows[:, 3].view(np.uint64) if rows[:, 3].flags.c_contiguous else np.ascontiguousarray(rows[:, 3]).view(np.uint64)
-            pairs = starts[ends - starts == 2]
-            a, b = prints[pairs], prints[pairs + 1] if len(pairs) else prints[:0]
-            near = np.bitwise_count(a ^ b) <= bits
-            tails.append(a[near])
-            heads.append(b[near])
-            for i in np.flatnonzero(ends - starts > 2):
+            prints = np.ascontiguousarray(rows[:, 3]).view(np.uint64)
+            counts = unary_counts(prints)
+            cell = np.repeat(np.arange(len(starts)), ends - starts)
+            hit = ends - starts > SMALL
+            small = ~hit[cell]
+            for d in range(1, min(int((ends - starts).max()), SMALL)):
+                both = np.flatnonzero((cell[d:] == cell[:-d]) & small[d:])
+                if not len(both):
+                    break
+                both = both[np.bitwise_count(counts[both] ^ counts[both + d]) <= bits]
+                hit[cell[both[np.bitwise_count(prints[both] ^ prints[both + d]) <= bits]]] = True
+            for i in np.flatnonzero(hit):
                 t, h = forest(prints[starts[i] : ends[i]], bits)
                 tails += t
                 heads += h
@@ -147,7 +154,7 @@ def linked_prints(prints: DataFrame, bits: int = BITS, cell_rows: int = CELL_ROW
     two blocks meet in a task of their own, so no task holds more than two
     blocks, and each gives fewer edges than it has rows.
     """
-    cells = materialize(grid_cells(prints, band_masks(bands_for(prints.count(), bits), bits)), "cells")
+    cells = grid_cells(prints, band_masks(bands_for(prints.count(), bits), bits))
     full = cells.groupBy("cell").count().filter("count > 1").select("cell", F.ceil(F.col("count") / cell_rows).cast("bigint").alias("blocks"))
     block = F.pmod(F.xxhash64("print"), F.col("blocks"))
     met = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
