@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import PurePath
+
 from barwatch.operators.score import DEFAULT_SIGMAS
 from barwatch.schema import MODELS, OHLCV
 
@@ -10,7 +12,7 @@ def parse_symbol(text: str | None) -> str:
     """Upper-cased ticker; an absent one is UNKNOWN, an empty one an error."""
     symbol = ("UNKNOWN" if text is None else text).upper()
     if not symbol:
-        raise ValueError("Stock Ticker is a required field.")
+        raise ValueError("a symbol may not be empty")
     return symbol
 
 
@@ -18,27 +20,22 @@ def parse_threshold(text: object = DEFAULT_SIGMAS) -> float:
     try:
         return float(text)
     except (TypeError, ValueError):
-        raise ValueError("Invalid threshold value provided.") from None
+        raise ValueError(f"the threshold is no number: {text!r}") from None
 
 
 def check_model(model: str) -> str:
     if model not in MODELS:
-        raise ValueError(f"Unsupported model type: '{model}'")
+        raise ValueError(f"no such model: {model!r}; there are {', '.join(MODELS)}")
     return model
 
 
 def check_file_name(name: str) -> str:
-    if not name:
-        raise ValueError("No file selected")
-    if "." not in name or name.rsplit(".", 1)[1].lower() != "csv":
-        raise ValueError("Invalid file type. Please upload a CSV.")
+    if PurePath(name).suffix.lower() != ".csv":
+        raise ValueError(f"not the name of a .csv file: {name!r}")
     return name
 
 
 def check_header(header: list[str]) -> None:
     """The six names, in order and in this spelling."""
     if header != OHLCV:
-        raise ValueError(
-            "Invalid CSV format. The header is incorrect. "
-            f"Please ensure the columns are exactly: {', '.join(OHLCV)}"
-        )
+        raise ValueError(f"unexpected columns {header}; price files have {OHLCV}")

@@ -23,38 +23,73 @@ _RAW_SCHEMA = T.StructType(
 PREVIEW_ROWS = 50
 
 
-def csv_header(spark: SparkSession, path: str) -> list[str]:
-    first = spark.read.text(path).first()
-    return next(csv.reader([first[0].lstrip("\ufeff")])) if first else []
+DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "yyyyMMdd", "M/d/yyyy", "d.M.yyyy", "d-MMM-yyyy", "MMM d, yyyy")
+
+
+def csv_header(spark: SparkSession, file: str) -> list[str]:
+    """The first line's cells, read through Hadoop's file system without a job."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(file)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(path.getFileSystem(conf).open(path), "UTF-8"))
+    try:
+        line = reader.readLine()
+    finally:
+        reader.close()
+    return next(csv.reader([line.lstrip("\ufeff")]), []) if line else []
 
 
 def check_headers(spark: SparkSession, files: list[str]) -> None:
     """Check the header of every file; only first lines are read."""
-    with ThreadPoolExecutor(8) as pool:
+    with ThreadPoolExecutor(16) as pool:
         for header in pool.map(lambda file: csv_header(spark, file), files):
             check_header(header)
 
 
-def scan_prices(spark: SparkSession, path: str, symbol: str | None = None) -> DataFrame:
+def scan_prices(
+    spark: SparkSession, path: str, symbol: str | None = None, cut: str | None = None, formats: tuple[str, ...] = DATE_FORMATS
+) -> DataFrame:
     """Price CSVs as a typed table, without rows whose date cannot be read.
 
-    A folder may hold many symbols: as ``symbol=...`` folders, or else each
-    file's name up to the first ``_`` or ``.`` is its symbol.  ``symbol``
-    names them all.
+    A folder, searched to any depth, may hold many symbols: as ``symbol=...``
+    folders, or else each file's name without ``.csv`` is its symbol, up to the
+    first ``cut`` if one is given.  ``symbol`` names them all.  The files whose
+    headers are checked are the files that are read.
     """
+    return drop_undated(scan_rows(spark, path, symbol, cut, formats))
+
+
+def scan_rows(
+    spark: SparkSession, path: str, symbol: str | None = None, cut: str | None = None, formats: tuple[str, ...] = DATE_FORMATS
+) -> DataFrame:
+    """As :func:`scan_prices`, with the rows whose date is null as well."""
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
     files = [row["path"] for row in listing.collect() if row["path"].lower().endswith(".csv")]
     check_headers(spark, files)
-    in_folders = bool(files) and all(f"/{SYMBOL}=" in file for file in files)
+    in_folders = bool(files) and all(f"/{SYMBOL}=" in file for file in files) and not path.lower().endswith(".csv")
     schema = T.StructType([*_RAW_SCHEMA, T.StructField(SYMBOL, T.StringType())]) if in_folders else _RAW_SCHEMA
     # Without pruning, the reader checks the header's width and names as well.
     reader = spark.read.schema(schema).options(header=True, enforceSchema=False, columnPruning=False)
-    raw = reader.csv(path)
+    if in_folders:
+        reader = reader.option("basePath", path)
+    raw = reader.csv(files) if files else spark.createDataFrame([], schema)
     if symbol is not None:
         raw = raw.withColumn(SYMBOL, F.lit(parse_symbol(symbol)))
+    elif not files:
+        raw = raw.withColumn(SYMBOL, F.lit(None).cast("string"))
     elif not in_folders:
-        raw = raw.withColumn(SYMBOL, F.upper(F.regexp_extract("_metadata.file_name", r"^([^_.]+)", 1)))
-    return drop_undated(clean(raw)).select(SYMBOL, *OHLCV)
+        name = F.regexp_replace(F.col("_metadata.file_name"), r"(?i)\.csv$", "")
+        raw = raw.withColumn(SYMBOL, F.upper(F.substring_index(name, cut, 1) if cut else name))
+    return clean(raw, formats).select(SYMBOL, *OHLCV)
+
+
+def undated_rows(rows: DataFrame) -> int:
+    """How many rows of :func:`scan_rows` have no readable date."""
+    return rows.where(F.col("Date").isNull()).count()
+
+
+def repeated_dates(prices: DataFrame) -> DataFrame:
+    """``symbol``, ``Date`` and ``count`` where a symbol has several rows of one date; a price series has none."""
+    return prices.groupBy(SYMBOL, "Date").count().where("count > 1")
 
 
 def normalise_columns(df: DataFrame) -> DataFrame:
@@ -62,9 +97,9 @@ def normalise_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.lower().capitalize() for c in df.columns])
 
 
-def parse_date(text: Column) -> Column:
-    """A date, or null where the text is none."""
-    return F.coalesce(F.try_to_timestamp(text, F.lit("yyyy-MM-dd")), F.try_to_timestamp(text)).cast("date")
+def parse_date(text: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
+    """A date by the first format that fits, else by Spark's own reading, or null where the text is none."""
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats], F.try_to_timestamp(text)).cast("date")
 
 
 def finite(value: Column) -> Column:
@@ -72,11 +107,11 @@ def finite(value: Column) -> Column:
     return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
 
 
-def clean(df: DataFrame) -> DataFrame:
+def clean(df: DataFrame, formats: tuple[str, ...] = DATE_FORMATS) -> DataFrame:
     """Typed date, finite prices, whole volume."""
     return df.withColumns(
         {
-            "Date": parse_date(F.col("Date")),
+            "Date": parse_date(F.col("Date"), formats),
             **{c: finite(F.col(c)) for c in _PRICES},
             "Volume": finite(F.col("Volume")).try_cast("long"),
         }
@@ -99,8 +134,9 @@ def preview(df: DataFrame, line: str | None = None, rows: int = PREVIEW_ROWS) ->
 
 def price_history(prices: DataFrame, symbol: str, start: str, end: str) -> DataFrame:
     """One ticker from ``start`` up to, not including, ``end``."""
-    if not all([symbol, start, end]):
-        raise ValueError("All fields are required.")
+    for name, value in {"symbol": symbol, "start": start, "end": end}.items():
+        if not value:
+            raise ValueError(f"price_history needs a {name}")
     in_range = (F.col("Date") >= F.lit(start).cast("date")) & (F.col("Date") < F.lit(end).cast("date"))
     return prices.where((F.col(SYMBOL) == parse_symbol(symbol)) & in_range).select(*OHLCV)
 

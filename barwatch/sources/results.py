@@ -83,7 +83,7 @@ def append_history(record: DataFrame, path: str) -> bool:
         record.select(*HISTORY_SCHEMA.names).to(HISTORY_SCHEMA).write.mode("append").parquet(path)
         return True
     except Exception:
-        log.exception("Failed to save analysis to history")
+        log.exception("no history row was written to %s", path)
         return False
 
 

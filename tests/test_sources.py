@@ -27,7 +27,7 @@ def test_scan_types_and_dirty_cells(spark, tmp_path):
         tmp_path, "aapl_2020.csv",
         HEADER + "2020-01-02,1.5,2,1,1.2,100\nnot a date,1,1,1,1,1\n2020-01-03,text,2,1,1,7\n2020-01-06,nan,2,1,1,\n",
     )
-    got = px.scan_prices(spark, str(path)).orderBy("Date").collect()
+    got = px.scan_prices(spark, str(path), cut="_").orderBy("Date").collect()
     assert [r["Date"] for r in got] == [dt.date(2020, 1, 2), dt.date(2020, 1, 3), dt.date(2020, 1, 6)]
     assert {r["symbol"] for r in got} == {"AAPL"}
     assert got[0]["Volume"] == 100 and got[1]["Close"] is None and got[2]["Close"] is None and got[2]["Volume"] is None
@@ -40,6 +40,18 @@ def test_a_folder_is_many_symbols(spark, tmp_path):
     assert {r["symbol"] for r in px.scan_prices(spark, str(tmp_path)).collect()} == {"AA", "BB"}
 
 
+def test_nested_files_dotted_names_and_dates(spark, tmp_path):
+    os.makedirs(tmp_path / "2020" / "x")
+    write(tmp_path / "2020" / "x", "BRK.A.csv", HEADER + "01/02/2020,1,1,1,1,1\n2020-01-03 09:30:00,1,1,1,1,1\n")
+    write(tmp_path / "2020", "BRK.B.csv", HEADER + "3.1.2020,1,1,1,1,1\nnever,1,1,1,1,1\n")
+    write(tmp_path, "notes.txt", "no prices")
+    rows = px.scan_rows(spark, str(tmp_path))
+    assert px.undated_rows(rows) == 1
+    got = px.scan_prices(spark, str(tmp_path))
+    assert sorted((r["symbol"], r["Date"].day) for r in got.collect()) == [("BRK.A", 2), ("BRK.A", 3), ("BRK.B", 3)]
+    assert px.repeated_dates(got).count() == 0 and px.repeated_dates(got.union(got)).count() == 3
+
+
 @pytest.mark.parametrize(
     "header",
     [
@@ -52,7 +64,7 @@ def test_a_folder_is_many_symbols(spark, tmp_path):
 )
 def test_any_other_header_is_rejected(spark, tmp_path, header):
     path = write(tmp_path, "x.csv", header + "\n2020-01-02,1,1,1,1,1\n")
-    with pytest.raises(ValueError, match="The header is incorrect"):
+    with pytest.raises(ValueError, match="unexpected columns"):
         px.scan_prices(spark, str(path))
 
 
