@@ -18,8 +18,6 @@ RESULT = [
     SYMBOL, *OHLCV, *INDICATORS, "features", "cluster", "distance", "threshold", "is_anomaly", "model_used",
 ]
 
-_SMALL_ROWS = 10_000_000
-
 _SCORERS = {"kmeans": kmeans.score, "gmm": gmm.score, "isolation_forest": iforest.score, "svm": ocsvm.score}
 
 
@@ -51,9 +49,6 @@ def score_features(
         return _no_rows(featured, model)
     rows = model_input(featured, by, ddof=1 if adaptive else 0)
     points = rows.select(SYMBOL, "_pos", "features", "group_rows")
-    if rows.first()["group_rows"] < _SMALL_ROWS:
-        # A small table may come as one file; iterations want every core.
-        points = points.repartition(points.sparkSession.sparkContext.defaultParallelism)
     points = points.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         scored = _SCORERS[model](rows, points, by)
