@@ -15,10 +15,6 @@ def cluster_label(cluster: Column) -> Column:
     return F.concat(F.lit("Cluster "), cluster.cast("string"))
 
 
-def file_extension(name: Column) -> Column:
-    return F.when(name.contains("."), F.substring_index(F.lower(name), ".", -1))
-
-
 def day(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd")
 

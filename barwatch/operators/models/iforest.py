@@ -20,8 +20,6 @@ from barwatch.session import ship_package
 TREES, TREE_ROWS, SEED = 100, 256, 42
 EULER_GAMMA = 0.5772156649015329
 
-# Rows per group from which all trees draw, when a group has more.
-_POOL_ROWS = 64 * TREE_ROWS
 # A tree draws this much more than it needs, so that falling short is a 6-sigma event.
 _SURPLUS = 1.5
 
@@ -41,8 +39,11 @@ def mean_path(n) -> np.ndarray:
 def tree_samples(points: DataFrame, group: str, trees: int, tree_rows: int, seed: int) -> DataFrame:
     """``tree_rows`` distinct rows per group and tree (all rows of a smaller group)."""
     n = F.col("group_rows")
-    pool = points.where(unit_hash("symbol", "_pos", seed=seed) < _POOL_ROWS / n)
-    chance = _SURPLUS * tree_rows / F.least(n, F.lit(_POOL_ROWS))
+    # A large group first draws what all trees need together; each of those
+    # rows then goes to one tree on average.
+    needed = _SURPLUS * trees * tree_rows
+    pool = points.where(unit_hash("symbol", "_pos", seed=seed) < needed / n)
+    chance = _SURPLUS * tree_rows / F.least(n, F.lit(needed))
     picked = F.filter(
         F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: unit_hash("symbol", "_pos", t, seed=seed + 1) < chance
     )

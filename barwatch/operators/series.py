@@ -93,8 +93,10 @@ def _chunk(df: DataFrame, order: list[str], gapless: bool, chunk_rows: int, halo
     # A range sort splits any symbol over as many tasks as it needs; the ids
     # it gets there are consecutive within a task, so the place in the series
     # follows from the row counts of the tasks before it.  Exact copies of a
-    # row are interchangeable; the seeded number lets them split as well.
-    ordered = df.withColumn("_copy", F.rand(0)).orderBy(SYMBOL, *order, "_copy").drop("_copy")
+    # row are interchangeable; the written number lets them split as well, and
+    # a task that runs again sorts the same rows.
+    numbered = materialize(df.withColumn("_copy", F.monotonically_increasing_id()), "numbered")
+    ordered = numbered.orderBy(SYMBOL, *order, "_copy").drop("_copy")
     ordered = ordered.withColumn("_id", F.monotonically_increasing_id())
     ordered = materialize(ordered, "ordered").withColumn("_run", F.shiftright("_id", 33))
     before = Window.partitionBy(SYMBOL).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)

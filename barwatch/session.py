@@ -69,3 +69,12 @@ def join_parameters(
     if params.count() <= BROADCAST_ROWS:
         params = F.broadcast(params)
     return rows.join(params, on, how)
+
+
+def one_file_each(rows: DataFrame, key: str, rows_per_file: int = 1_000_000) -> DataFrame:
+    """Deal ``rows`` for a write partitioned by ``key``: one task a key, or as many as a large one's rows ask for."""
+    parts = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_parts"))
+    parts = parts.withColumnRenamed(key, "_key")
+    dealt = rows.join(parts, rows[key].eqNullSafe(parts["_key"]))
+    salt = F.pmod(F.xxhash64(*rows.columns), F.col("_parts"))
+    return dealt.withColumn("_salt", salt).repartition(key, "_salt").drop("_key", "_parts", "_salt")

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from barwatch.functions.checks import check_header, parse_symbol
 from barwatch.schema import OHLCV, PRICE_SCHEMA, SYMBOL
+from barwatch.session import one_file_each
 
 _PRICES = ["Close", "High", "Low", "Open"]
 
@@ -149,6 +150,6 @@ def export_prices(prices: DataFrame, path: str, by_symbol: bool = False) -> None
     """Price columns as CSV with the contract's header, on request in a folder per symbol."""
     columns = [F.col(f.name).cast(f.dataType) for f in PRICE_SCHEMA]
     if by_symbol:
-        prices.select(SYMBOL, *columns).write.partitionBy(SYMBOL).option("header", True).csv(path)
+        one_file_each(prices.select(SYMBOL, *columns), SYMBOL).write.partitionBy(SYMBOL).option("header", True).csv(path)
     else:
         prices.select(*columns).write.option("header", True).csv(path)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barwatch.functions.display import day
+from barwatch.session import one_file_each
 from barwatch.schema import HISTORY_SCHEMA, SYMBOL, VISUAL_COLUMNS
 
 log = logging.getLogger(__name__)
@@ -29,7 +30,7 @@ def parse_vector_text(text: Column) -> Column:
 
 def write_result(scored: DataFrame, path: str) -> None:
     """Scored rows as Parquet, a folder per symbol."""
-    scored.write.partitionBy(SYMBOL).parquet(path)
+    one_file_each(scored, SYMBOL).write.partitionBy(SYMBOL).parquet(path)
 
 
 def write_result_csv(scored: DataFrame, path: str) -> None:

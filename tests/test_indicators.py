@@ -199,14 +199,13 @@ def test_rsi_small_cases(spark):
 GOLDEN_CLOSES = [60.09313201904297, 67.29277801513672]
 
 
-def test_published_return_and_signal(spark):
+def test_published_return(spark):
     """Consecutive rows of a published result file."""
     series = lay_out(make_prices(spark, {"x": GOLDEN_CLOSES}), bounded=True)
     from barwatch.functions import indicators as ind
 
     got = series.rows.select("_pos", ind.daily_return(series.window()).alias("r")).orderBy("_pos").collect()
     assert got[1]["r"] == pytest.approx(0.11980813371172339, abs=1e-15)
-    assert 0.8 * -1.6796758163539205 + 0.2 * -2.526954812870059 == pytest.approx(-1.8491316156571482, abs=1e-12)
 
 
 def test_equal_dates_are_ordered_by_price(spark):
@@ -225,4 +224,3 @@ def test_plan_has_one_exchange_and_two_sorts(spark):
     executed = text.split("AdaptiveSparkPlan")[-1]
     assert executed.count("Exchange hashpartitioning") == 1
     assert executed.count("+- Sort [") == 2 or executed.count("Sort [") == 2
-    assert F is not None

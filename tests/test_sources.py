@@ -40,6 +40,16 @@ def test_a_folder_is_many_symbols(spark, tmp_path):
     assert {r["symbol"] for r in px.scan_prices(spark, str(tmp_path)).collect()} == {"AA", "BB"}
 
 
+def test_a_symbol_is_one_file(spark, tmp_path):
+    rows = [(s, dt.date(2020, 1, d), 1.0, 1.0, 1.0, 2.0, d) for d in range(1, 29) for s in ("AA", "BB", "CC")]
+    table = spark.createDataFrame(
+        rows, "symbol string, Date date, Close double, High double, Low double, Open double, Volume bigint"
+    ).repartition(8)
+    px.export_prices(table, str(tmp_path / "out"), by_symbol=True)
+    assert len(list((tmp_path / "out").glob("symbol=*/*.csv"))) == 3
+    assert sorted(px.scan_prices(spark, str(tmp_path / "out")).collect()) == sorted(table.collect())
+
+
 def test_nested_files_dotted_names_and_dates(spark, tmp_path):
     os.makedirs(tmp_path / "2020" / "x")
     write(tmp_path / "2020" / "x", "BRK.A.csv", HEADER + "01/02/2020,1,1,1,1,1\n2020-01-03 09:30:00,1,1,1,1,1\n")
