@@ -1,6 +1,6 @@
 """Licence scan: ordered signature rules over the words of a text.
 
-All of it is expressions on the row: texts without a keyword are only counted.
+All of it is expressions on the row: texts without the words of any rule are only counted.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc
 
 NOT_WORD = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 NOT_WORD_RAW = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"  # before capitals are made small
-GATE = rf"(?i)licen[cs]|copyright|spdx|cc[{NOT_WORD_RAW}]+by|cc0|creative|commons|public domain|rights reserved|gpl"
 
 
 @dataclass(frozen=True)
@@ -33,6 +32,7 @@ class Rule:
     keyword: str
     pattern: str
     confidence: float
+    gate: str = ""  # regex of words that every match has; the keyword if empty
 
 
 # label, keyword that every text with it has, name as a regex, versions as a regex or "".
@@ -76,16 +76,17 @@ FAMILIES = [
     ("cc-by-nc", "noncommercial", r"(?:creative commons )?attribution noncommercial", r"v?[1234](?: [05])?"),
     ("cc-by-nd", "noderiv", r"(?:creative commons )?attribution noderiv(?:s|atives)", r"v?[1234](?: [05])?"),
 ]
-# form, priority, confidence, regex around the name; {v} stands for the version.
+# form, priority, confidence, words that every text with it has, regex around the name; {v} stands for the version.
+LICENCE, RELEASED = "licen[cs]e", "(?:released|distributed|available|published) under"
 FORMS = [
-    ("identifier", 0, 1.0, r"spdx license identifier {n}(?: {v})?(?: only| or later)?"),
-    ("grant", 1, 0.95, r"licen[cs]ed under (?:the )?(?:terms of (?:the )?)?{n}(?: licen[cs]e)?"),
-    ("grant-version", 1, 0.98, r"licen[cs]ed under (?:the )?(?:terms of (?:the )?)?{n}(?: licen[cs]e)?(?: version)? {v}"),
-    ("release", 1, 0.95, r"(?:released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?{n}(?: licen[cs]e)?"),
-    ("subject", 1, 0.9, r"subject to (?:the )?(?:terms of (?:the )?)?{n} licen[cs]e"),
-    ("versioned", 2, 0.9, r"{n} licen[cs]e(?: version)? {v}"),
-    ("named", 3, 0.8, r"{n} licen[cs]e"),
-    ("reversed", 3, 0.7, r"licen[cs]e {n}"),
+    ("identifier", 0, 1.0, LICENCE, r"spdx license identifier {n}(?: {v})?(?: only| or later)?"),
+    ("grant", 1, 0.95, LICENCE, r"licen[cs]ed under (?:the )?(?:terms of (?:the )?)?{n}(?: licen[cs]e)?"),
+    ("grant-version", 1, 0.98, LICENCE, r"licen[cs]ed under (?:the )?(?:terms of (?:the )?)?{n}(?: licen[cs]e)?(?: version)? {v}"),
+    ("release", 1, 0.95, RELEASED, RELEASED + r" (?:the )?(?:terms of (?:the )?)?{n}(?: licen[cs]e)?"),
+    ("subject", 1, 0.9, LICENCE, r"subject to (?:the )?(?:terms of (?:the )?)?{n} licen[cs]e"),
+    ("versioned", 2, 0.9, LICENCE, r"{n} licen[cs]e(?: version)? {v}"),
+    ("named", 3, 0.8, LICENCE, r"{n} licen[cs]e"),
+    ("reversed", 3, 0.7, LICENCE, r"licen[cs]e {n}"),
 ]
 # Rules of their own; words that stand for no family by name.
 SINGLE = [
@@ -117,13 +118,23 @@ PRIORITIES = 5
 def rules() -> Iterator[Rule]:
     """All signatures: every family in every form that its versions allow, then the single ones."""
     for label, keyword, name, version in FAMILIES:
-        for form, priority, confidence, pattern in FORMS:
+        for form, priority, confidence, gate, pattern in FORMS:
             if version or "version" not in form:
                 spelled = pattern.replace("(?: {v})?", "") if not version else pattern
-                yield Rule(f"{label}-{form}", label, priority, keyword, spelled.replace("{n}", name).replace("{v}", version), confidence)
+                yield Rule(f"{label}-{form}", label, priority, keyword, spelled.replace("{n}", name).replace("{v}", version), confidence, gate)
     yield from SINGLE
 
 
+def _gate() -> str:
+    """A regex over raw texts that finds the gate words of every rule and base phrase, whatever stands between words."""
+    between = rf"[{NOT_WORD_RAW}]"
+    needed = dict.fromkeys([r.gate or r.keyword for r in rules()] + list(PHRASES))
+    return rf"(?:^|{between})(?i:{'|'.join(needed)})".replace(" ", f"{between}+")
+
+
+GATE = _gate()
+
+
 def _blanks(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
@@ -181,8 +192,8 @@ def detections(spaced: Column) -> Column:
 def scan_licences(docs: DataFrame) -> DataFrame:
     """Per document: ``doc_id``, ``n_words``, ``base`` (word ranges with labels) and ``spans`` (detections of the rules).
 
-    A text without any keyword of the gate has only its words counted.  The
-    others are made small and spaced once; each rule whose keyword occurs is
+    A text without the gate words of any rule has only its words counted; no
+    rule can match there.  The others are made small and spaced once; each rule whose keyword occurs is
     matched; a detection inside another of the same or an earlier priority is
     suppressed.  Nothing is shuffled.
 
