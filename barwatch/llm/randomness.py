@@ -10,7 +10,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,8 @@ KINDS = ("assign", "access", "hex", "random")  # in the order in which spans of
 ASSIGN = re.compile(r"(?ai:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # runs end where letters end, so a shorter run hides no longer one
-TOKEN = re.compile(r"[A-Za-z0-9+/=_-]{20,}")
+RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}")  # no '=', which pads a token or stands before it
+WIDEST = (re.compile(r"[A-Za-z0-9+/]{20,}"), re.compile(r"[A-Za-z0-9_-]{20,}"))  # base64 and base64url
 # Alphabets from the narrowest to the widest; a token has the first one that holds all its symbols.
 ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -94,15 +97,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def tokens(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of long runs of symbols of one alphabet, without padding.
+
+    A run that mixes base64's own signs with those of base64url, such as a
+    value glued to a name or a path, fits neither; then its longest parts in
+    each are taken, which may overlap.
+    """
+    for m in RUN.finditer(text):
+        if any(w.fullmatch(m.group()) for w in WIDEST):
+            yield m.span()
+        else:
+            yield from sorted(p.span() for w in WIDEST for p in w.finditer(text, *m.span()))
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
     """(start, end, length class, p-value bin) of tokens that touch no base span."""
-    i, reach = 0, -1
-    for m in TOKEN.finditer(text):
-        start, end = m.start(), m.start() + len(m.group().rstrip("="))
-        while i < len(base) and base[i][0] < m.end():
-            reach = max(reach, base[i][2])
-            i += 1
-        if start < reach or end - start < 20:
+    starts = [s for s, _, _ in base]
+    reach = list(accumulate((e for _, _, e in base), max, initial=-1))  # furthest end of the first spans
+    for start, end in tokens(text):
+        if start < reach[bisect_left(starts, end)]:
             continue
         token = text[start:end]
         if encoding := encoding_of(token):

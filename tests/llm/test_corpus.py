@@ -307,6 +307,22 @@ def test_random_tokens_are_told_from_words(spark):
     assert all(s[0].start == 4 and s[0].kind == 3 for s in got.spans if len(s))
 
 
+def test_values_after_a_sign_or_glued_to_a_name_are_tested(spark):
+    rng = random.Random(8)
+    draw = lambda name, n: "".join(rng.choice(randomness.ALPHABETS[name]) for _ in range(n - 2)) + randomness.ALPHABETS[name][-2:]
+    shapes = [("AWS_SECRET_ACCESS_KEY=", "base64", 40, ""), ("GET /a?sig=", "base64url", 43, "&x=1"), ("key=", "base64", 42, "=="), ("my_key_", "base64", 40, " x"),
+              ("etc/app/", "base64url", 43, ""), ("=", "base62", 40, "=end"), ("KEY=deadbeefdeadbeef00_", "base64", 64, "_deadbeefdeadbeef00")]
+    texts = [(before, draw(name, n), after) for before, name, n, after in shapes for _ in range(60)]
+    got = randomness.scan_secrets(documents(spark, [(i, "".join(t), "a") for i, t in enumerate(texts)])).toPandas().set_index("doc_id")
+    hits = [any((s.start, s.kind, s.end) == (len(b), 3, len(b) + len(v)) for s in got.spans[i]) for i, (b, v, _) in enumerate(texts)]
+    assert all(sum(hits[i : i + 60]) > 50 for i in range(0, len(hits), 60))
+
+
+def test_tokens_of_runs():
+    text = "name_of_it_" + "A+b/" * 6 + "-tail " + "x" * 30 + "== " + "a/b_c" * 9 + " short=short"
+    assert [text[a:b] for a, b in randomness.tokens(text)] == ["A+b/" * 6, "x" * 30]
+
+
 def test_quality_on_held_out_documents(spark):
     got = classifier.op2_quality(spark, SF_CHECK).toPandas().merge(table(spark, SF_CHECK, "labels").toPandas(), on="doc_id")
     assert (got.held_out == got.doc_id.apply(lambda i: zlib.crc32(str(i).encode()) % 5 == 0)).all() and got.score.between(0, 1).all()
