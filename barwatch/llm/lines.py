@@ -82,13 +82,16 @@ def shared_lines(lines: DataFrame, documents: int) -> DataFrame:
 
 
 def line_frequency_rules(docs: DataFrame, documents: int = 10, depleted: float = 0.5) -> DataFrame:
-    """Per document: its own counts, the lines removed for being shared, and ``kept``.
+    """Per document: its own counts, the verdict ``kept``, and ``kept_text``, its text less the shared lines.
 
     A line (its letters made small, its numbers made 0, trimmed and hashed) that more than ``documents`` documents of
-    the same ``source`` hold is removed from all of them.  A document that
-    loses more than the share ``depleted`` of its lines' characters is
-    rejected, as is one that fails the base rules.  Lines are counted with
-    map-side sums, so a line that all documents hold is one row per task.
+    the same ``source`` hold is removed from all of them; ``kept_text`` has
+    the other lines as they were, blank ones too, and a text without shared
+    lines is unchanged.  A document that loses more than the share
+    ``depleted`` of its lines' characters is rejected, as is one that fails
+    the base rules; ``kept_text`` is there for rejected ones as well.  Lines
+    are counted with map-side sums, so a line that all documents hold is one
+    row per task.  Texts are shuffled only if ``kept_text`` is used.
 
     A null text is empty and fails the base rules; a null source is a host of
     its own; every repeated row counts as a document; an empty table stays
@@ -100,34 +103,40 @@ def line_frequency_rules(docs: DataFrame, documents: int = 10, depleted: float =
     named = rows.withColumn("lines", lines_of(normalised(F.col("text"))))
     keys = named.select("host", F.explode(F.array_distinct(F.transform("lines", line_key))).alias("line"))
     shared = shared_lines(keys, documents)
-    each = named.select("doc_id", "text_key", "host", F.explode("lines").alias("content")).select(
-        "doc_id", "text_key", "host", line_key(F.col("content")).alias("line"), F.length("content").alias("chars"))
-    # Equal rows fall into one group here, with one and the same share.
+    each = rows.select("doc_id", "text_key", "host", F.posexplode(F.split(normalised(F.col("text")), "\n")).alias("place", "content"))
+    each = each.filter(F.btrim("content", F.lit(BLANK)) != "").select(
+        "doc_id", "text_key", "host", line_key(F.col("content")).alias("line"), F.struct("place", F.length("content").alias("chars")).alias("lost"))
+    # Equal rows fall into one group here, with one and the same set of places.
     lost = (
         each.join(shared.select("host", "line"), ["host", "line"], "left_semi")
         .groupBy("doc_id", "text_key", "host")
-        .agg(F.count(F.lit(1)).alias("lost_lines"), F.sum("chars").alias("lost_chars"))
+        .agg(F.collect_set("lost").alias("lost"))
         .withColumnsRenamed({"doc_id": "l_id", "text_key": "l_key", "host": "l_host"})
     )
-    # The copies in that group, to take the sums back to one row.
     chars = F.aggregate(lines_of(normalised(F.col("text"))), F.lit(0).cast("long"), lambda n, line: n + F.length(line))
-    base = base_rules(rows.select("doc_id", "text_key", "host", "text", chars.alias("line_chars"))).drop("text")
-    copies = rows.groupBy("doc_id", "text_key", "host").count().filter("count > 1").withColumnsRenamed(
-        {"doc_id": "c_id", "text_key": "c_key", "host": "c_host", "count": "copies"})
+    base = base_rules(rows.select("doc_id", "text_key", "host", "text", chars.alias("line_chars")))
     joined = base.join(lost, base["doc_id"].eqNullSafe(lost["l_id"]) & (base["text_key"] == lost["l_key"]) & (base["host"] == lost["l_host"]), "left")
-    joined = joined.join(copies, joined["doc_id"].eqNullSafe(copies["c_id"]) & (joined["text_key"] == copies["c_key"]) & (joined["host"] == copies["c_host"]), "left")
-    each_lost = lambda c: F.expr(f"coalesce({c} div coalesce(copies, 1), 0)")
-    share = each_lost("lost_chars") / F.greatest(F.col("line_chars"), F.lit(1))
+    lost_chars = F.aggregate("lost", F.lit(0).cast("long"), lambda n, line: n + line["chars"])
+    share = F.coalesce(lost_chars, F.lit(0)) / F.greatest(F.col("line_chars"), F.lit(1))
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (share <= depleted)).alias("kept"),
-        each_lost("lost_lines").alias("n_shared_lines"), F.round(share, 6).alias("shared_share"),
+        F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias("n_shared_lines"), F.round(share, 6).alias("shared_share"),
+        F.when(F.col("lost").isNull(), F.col("text")).otherwise(without_lines(F.col("text"), F.col("lost.place"))).alias("kept_text"),
     )
 
 
+def without_lines(text: Column, places: Column) -> Column:
+    """The text without its lines at these places; time is linear in the lines."""
+    lines = F.split(text, "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places)
+    return F.get(F.transform(F.array(F.struct(lines.alias("all"), left.alias("left"))), lambda x: F.array_join(
+        F.transform(x["left"], lambda i: F.get(x["all"], i)), "\n")), F.lit(0))
+
+
 def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document."""
-    return line_frequency_rules(table(spark, sf_dir, "documents"))
+    return line_frequency_rules(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
 OP4_SQL = r"""

@@ -229,6 +229,22 @@ def test_line_limit(spark):
     assert (got.n_shared_lines[[0, 5]] == 2).all() and (got.n_shared_lines[[90]] == 0).all()
 
 
+def test_shared_lines_leave_the_text(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(40):
+        lines_ = [rng.choice(("Page 7 of 9", "page 12 OF 3\r", "", "  Share this ", f"own line {i} of x{'y' * i}", "É 1", "rare")) for _ in range(rng.randrange(30))]
+        rows.append((rng.choice((i, None)), "\n".join(lines_), rng.choice(("g", "h", None))))
+    rows += rows[:6] * 2 + [(90, "a\n\n", "z"), (91, "", "g"), (92, None, "g")]
+    norm = lambda line: re.sub("[0-9]+", "0", line).lower().strip(lines.BLANK)
+    holders = Counter((s, n) for _, t, s in rows for n in {norm(x) for x in (t or "").split("\n")} if n)
+    lost = [[bool(norm(x)) and holders[s, norm(x)] > 10 for x in (t or "").split("\n")] for _, t, s in rows]
+    want = [(i or -1, sum(gone), "\n".join(x for x, g in zip((t or "").split("\n"), gone) if not g)) for (i, t, _), gone in zip(rows, lost)]
+    got = lines.line_frequency_rules(documents(spark, rows)).select("doc_id", "n_shared_lines", "kept_text").collect()
+    assert sorted((i or -1, n, t) for i, n, t in got) == sorted(want)
+    assert sum(n for _, n, _ in want) > 50 and any(t for _, n, t in want if n)
+
+
 def test_licence_base_and_rules(spark):
     texts = {1: "The MIT-License; CC BY. cc by", 2: "Licensed under the Apache License, Version 2.0.", 3: "mit licence gnu general public license v3",
              4: "K mité license", 5: "CC BY-NC-SA 4.0", 6: "permission " * 5, 7: "mit license " * 2000}
