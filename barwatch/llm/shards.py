@@ -11,17 +11,25 @@ from barwatch.session import materialize
 ROW_BYTES = 16  # counted for every row besides its text
 
 
-def _partitioned(rows: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Adds ``salt``: rows of a bucket with many rows are dealt by their id."""
-    return rows.join(F.broadcast(cuts), "bucket").withColumn("salt", F.pmod(F.xxhash64("id", "size"), "parts"))
+PARTITION = ["bucket", "sub", "single", "salt"]  # in the global order
+
+
+def _partitioned(rows: DataFrame, cuts: DataFrame, hot: DataFrame) -> DataFrame:
+    """Adds ``sub``, more bits of the hash in a large bucket, and for a hot hash itself as ``single`` and a ``salt`` by id; else 0."""
+    met = rows.join(F.broadcast(cuts), "bucket").join(F.broadcast(hot), "h", "left")
+    return met.withColumns({
+        "sub": F.expr("shiftrightunsigned(shiftrightunsigned(shiftleft(h, bits), 1), 63 - more_bits)"),
+        "single": F.when(F.col("parts").isNotNull(), F.col("h")).otherwise(0),
+        "salt": F.coalesce(1 + F.pmod(F.xxhash64("id", "size"), "parts"), F.lit(0)),
+    })
 
 
 def _placed(rows: DataFrame, offsets: DataFrame, shards: int) -> DataFrame:
     """Adds the row's global number ``at`` and its ``shard``, by the middle of its bytes in the global order."""
-    within = Window.partitionBy("bucket", "salt").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*PARTITION).orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0)
     numbered = rows.withColumn("upto", F.sum("size").over(within)).withColumn("nth", F.count(F.lit(1)).over(within))
     return (
-        numbered.join(F.broadcast(offsets), ["bucket", "salt"])
+        numbered.join(F.broadcast(offsets), PARTITION)
         .withColumn("at", F.col("rows_before") + F.col("nth") - 1)
         .withColumn(
             "shard",
@@ -37,9 +45,11 @@ def balanced_shards(
 
     The global order is by hash of the text, then id, so equal texts are
     neighbours.  It is cut into partitions: by the top bits of the hash, and a
-    bucket of more than ``partition_rows`` rows (many copies of one text) by
-    its ids too.  Byte and row totals of the partitions, at most
-    2^bucket_bits + rows / partition_rows of them, are summed in their order;
+    bucket of more than ``partition_rows`` rows by more bits.  There, a hash
+    with more than an eighth as many rows (copies of one text) has partitions
+    of its own beside its part of the bucket, dealt by id; all others stay in
+    their order.  Byte and row totals of the partitions, at most
+    2^bucket_bits + 11 * rows / partition_rows of them, are summed in their order;
     with the sums inside a partition they give every row's place, and equal
     targets cut the places into shards.  Shard sizes differ from the mean by
     at most one document.  Texts move once.
@@ -56,15 +66,18 @@ def balanced_shards(
         F.xxhash64(text).alias("h"),
     ).withColumn("bucket", F.shiftrightunsigned("h", 64 - bucket_bits).cast("int"))
     narrow = materialize(keyed.drop("row"), "shard-rows")
-    cuts = narrow.groupBy("bucket").count().select("bucket", F.ceil(F.col("count") / partition_rows).alias("parts"))
-    dealt = _partitioned(narrow, cuts)
-    before = Window.orderBy("bucket", "salt").rowsBetween(Window.unboundedPreceding, -1)
+    more = F.greatest(F.ceil(F.log2(F.col("count") / partition_rows)), F.lit(0)).cast("int")
+    cuts = narrow.groupBy("bucket").count().select("bucket", F.lit(bucket_bits).alias("bits"), more.alias("more_bits"))
+    large = narrow.join(F.broadcast(cuts.filter("more_bits > 0").select("bucket")), "bucket", "left_semi")
+    hot = large.groupBy("h").count().filter(F.col("count") > partition_rows / 8)
+    hot = materialize(hot.select("h", F.ceil(F.col("count") / partition_rows).alias("parts")), "shard-hot")
+    dealt = _partitioned(narrow, cuts, hot)
+    before = Window.orderBy(*PARTITION).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        dealt.groupBy("bucket", "salt")
+        dealt.groupBy(*PARTITION)
         .agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
         .select(
-            "bucket",
-            "salt",
+            *PARTITION,
             F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"),
             F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"),
             F.sum("bytes").over(Window.partitionBy()).alias("bytes_all"),
@@ -72,7 +85,7 @@ def balanced_shards(
     )
     offsets = materialize(offsets, "shard-offsets")
     firsts = _placed(dealt, offsets, shards).groupBy("shard").agg(F.min("at").alias("first"))
-    placed = _placed(_partitioned(keyed, cuts), offsets, shards).join(F.broadcast(firsts), "shard")
+    placed = _placed(_partitioned(keyed, cuts, hot), offsets, shards).join(F.broadcast(firsts), "shard")
     return placed.select("row.*", "size", "shard", (F.col("at") - F.col("first")).alias("slot"))
 
 

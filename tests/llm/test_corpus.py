@@ -205,6 +205,15 @@ def test_shards_with_split_buckets(spark, odd):
     assert all(sorted(s) == list(range(len(s))) for _, s in by.slot)
 
 
+def test_texts_beside_a_hot_one_keep_their_copies_together(spark):
+    texts = ["copy"] * 900 + ["other"] * 120 + [f"text {i % 90}" for i in range(540)]
+    got = shards.balanced_shards(documents(spark, [(i, t, "a") for i, t in enumerate(texts)]), 7, 1, 100).toPandas()
+    ordered = got.sort_values(["shard", "slot"]).text.tolist()
+    assert sum(a != b for a, b in zip(ordered, ordered[1:])) + 1 == len(set(texts))
+    by = got.astype({"size": int}).groupby("shard")
+    assert all(sorted(s) == list(range(len(s))) for _, s in by.slot) and by["size"].sum().max() - by["size"].sum().min() < 60
+
+
 def test_mix_takes_near_its_targets(spark):
     got = mixing.op9_mixing(spark, SF_CHECK).toPandas()
     assert (got.taken <= 3 * got["size"]).all() and (got.taken % got["size"].clip(1) == 0).all()
