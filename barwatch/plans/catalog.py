@@ -122,6 +122,13 @@ def ohlcv_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(px.scan_prices(spark, folder))
 
 
+def ohlcv_csv_intraday(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars written as CSV and read with their times."""
+    folder = f"{scratch_dir(spark)}/csv-{uuid.uuid4().hex}"
+    px.export_prices(tables.bars_hourly(spark, sf_dir), folder, by_symbol=True)
+    return rounded(px.scan_prices(spark, folder, intraday=True))
+
+
 def normalize_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     shouted = _bars(spark, sf_dir).select(
         "symbol", F.col("Date").alias("DATE"), F.col("Close").alias("close"), F.col("High").alias("hIgH"),
@@ -276,6 +283,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "volatile_days": volatile_days,
         # sources and sinks
         "ohlcv_csv_scan": ohlcv_csv_scan,
+        "ohlcv_csv_intraday": ohlcv_csv_intraday,
         "normalize_columns": normalize_columns,
         "parse_dates": lambda s, d: _text_dates(s, d).select("o_orderkey", "Date"),
         "drop_null_dates": lambda s, d: px.drop_undated(_text_dates(s, d)),
@@ -299,6 +307,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ewm_span": lambda s, d: _smoothed(s, d, "ewm_12", alpha_from(span=12)),
         "ewm_com": lambda s, d: _smoothed(s, d, "ewm_14", alpha_from(com=13), "up"),
         "rsi_14": lambda s, d: _indicator(s, d, "RSI_14"),
+        "rsi_flat_runs": lambda s, d: _keyed(
+            add_rsi_and_macd(rolling_features(lay_out(tables.still_prices(s), bounded=True, gapless=True))).result(), "RSI_14"
+        ),
         "macd": lambda s, d: _indicator(s, d, "MACD"),
         "macd_signal": lambda s, d: _indicator(s, d, "MACD_Signal"),
         "warmup_trim": lambda s, d: _featured(s, d).groupBy(SYMBOL).agg(

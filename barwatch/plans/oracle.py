@@ -38,6 +38,12 @@ TICKS = """bars AS MATERIALIZED (
          l_extendedprice / l_quantity AS "Open", l_orderkey AS "Volume"
   FROM lineitem)"""
 
+STILL = """bars AS MATERIALIZED (
+  SELECT symbol, (DATE '2000-01-01' + i::INTEGER) AS "Date", c AS "Close", c AS "High", c AS "Low", c AS "Open", i AS "Volume"
+  FROM (SELECT symbol, i, CASE WHEN symbol = 'RESTS' AND i BETWEEN 500 AND 5499 THEN 100.0::DOUBLE
+                               ELSE 100 + (i * 7919 % 101)::DOUBLE / 10 END AS c
+        FROM range(6000) r(i), (VALUES ('MOVES'), ('RESTS')) s(symbol)))"""
+
 # Rows in order, changes, and the four smoothed means in one recursion.
 _FEATURES = """ordered AS MATERIALIZED (
   SELECT *, row_number() OVER w AS rn, "Close" - lag("Close") OVER w AS change,
@@ -216,6 +222,8 @@ def oracle_sql() -> dict[str, str]:
             AS threshold FROM featured GROUP BY symbol) USING (symbol) WHERE abs("Return") > threshold"""
         ),
         "ohlcv_csv_scan": _plain(f'SELECT symbol, "Date", {", ".join(_r(c) for c in OHLCV[1:5])}, "Volume" FROM bars'),
+        "ohlcv_csv_intraday": _with(BARS_HOURLY) + f'SELECT symbol, "Date", {", ".join(_r(c) for c in OHLCV[1:5])}, "Volume" FROM bars',
+        "rsi_flat_runs": _over_features(f'SELECT symbol, "Date", {_r("RSI_14")} FROM indicated', STILL),
         "normalize_columns": _plain(
             """SELECT symbol AS "Symbol", "Date", "Close", "High", "Low" AS "Adj low", "Volume" AS "Ma_7" FROM bars"""
         ),

@@ -40,11 +40,15 @@ def run_from_csv(
     symbol: str | None = None,
     by: str | None = None,
     at: datetime | None = None,
+    intraday: bool = False,
 ) -> Run:
-    """Scan, score, store, record and report; a failure to record does not undo the result."""
+    """Scan, score, store, record and report; a failure to record does not undo the result.
+
+    ``intraday`` is for files with times of day; the JSON records name the day, as for others.
+    """
     at = at or datetime.now()
     run_id, name = uuid.uuid4().hex, result_file_name(at, model).removesuffix(".csv")
-    prices = scan_prices(spark, csv_path, symbol)
+    prices = scan_prices(spark, csv_path, symbol, intraday=intraday)
     path = f"{results_folder.rstrip('/')}/{name}-{run_id}"
     scored = detect_anomalies(prices, model, k_sigma, by)
     schema = scored.schema

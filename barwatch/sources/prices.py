@@ -47,20 +47,23 @@ def check_headers(spark: SparkSession, files: list[str]) -> None:
 
 
 def scan_prices(
-    spark: SparkSession, path: str, symbol: str | None = None, cut: str | None = None, formats: tuple[str, ...] = DATE_FORMATS
+    spark: SparkSession, path: str, symbol: str | None = None, cut: str | None = None, formats: tuple[str, ...] = DATE_FORMATS,
+    intraday: bool = False,
 ) -> DataFrame:
     """Price CSVs as a typed table, without rows whose date cannot be read.
 
     A folder, searched to any depth, may hold many symbols: as ``symbol=...``
     folders, or else each file's name without ``.csv`` is its symbol, up to the
     first ``cut`` if one is given.  ``symbol`` names them all.  The files whose
-    headers are checked are the files that are read.
+    headers are checked are the files that are read.  ``intraday`` keeps the
+    time of day: ``Date`` is a timestamp, by which rows of one day are ordered.
     """
-    return drop_undated(scan_rows(spark, path, symbol, cut, formats))
+    return drop_undated(scan_rows(spark, path, symbol, cut, formats, intraday))
 
 
 def scan_rows(
-    spark: SparkSession, path: str, symbol: str | None = None, cut: str | None = None, formats: tuple[str, ...] = DATE_FORMATS
+    spark: SparkSession, path: str, symbol: str | None = None, cut: str | None = None, formats: tuple[str, ...] = DATE_FORMATS,
+    intraday: bool = False,
 ) -> DataFrame:
     """As :func:`scan_prices`, with the rows whose date is null as well."""
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
@@ -80,7 +83,7 @@ def scan_rows(
     elif not in_folders:
         name = F.regexp_replace(F.col("_metadata.file_name"), r"(?i)\.csv$", "")
         raw = raw.withColumn(SYMBOL, F.upper(F.substring_index(name, cut, 1) if cut else name))
-    return clean(raw, formats).select(SYMBOL, *OHLCV)
+    return clean(raw, formats, intraday).select(SYMBOL, *OHLCV)
 
 
 def undated_rows(rows: DataFrame) -> int:
@@ -103,16 +106,22 @@ def parse_date(text: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats], F.try_to_timestamp(text)).cast("date")
 
 
+def parse_time(text: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
+    """As :func:`parse_date`, with the time of day that may follow the date; midnight without one."""
+    timed = [f"{f}{time}" for f in formats for time in ("", " H:mm[:ss]")]
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in timed], F.try_to_timestamp(text))
+
+
 def finite(value: Column) -> Column:
     """NaN and infinities count as missing."""
     return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
 
 
-def clean(df: DataFrame, formats: tuple[str, ...] = DATE_FORMATS) -> DataFrame:
-    """Typed date, finite prices, whole volume."""
+def clean(df: DataFrame, formats: tuple[str, ...] = DATE_FORMATS, intraday: bool = False) -> DataFrame:
+    """Typed date (a timestamp if ``intraday``), finite prices, whole volume."""
     return df.withColumns(
         {
-            "Date": parse_date(F.col("Date"), formats),
+            "Date": (parse_time if intraday else parse_date)(F.col("Date"), formats),
             **{c: finite(F.col(c)) for c in _PRICES},
             "Volume": finite(F.col("Volume")).try_cast("long"),
         }
@@ -147,8 +156,9 @@ def price_file_name(symbol: str, start: str, end: str) -> str:
 
 
 def export_prices(prices: DataFrame, path: str, by_symbol: bool = False) -> None:
-    """Price columns as CSV with the contract's header, on request in a folder per symbol."""
-    columns = [F.col(f.name).cast(f.dataType) for f in PRICE_SCHEMA]
+    """Price columns as CSV with the contract's header, on request in a folder per symbol; times of day stay."""
+    timed = dict(prices.dtypes)["Date"].startswith("timestamp")
+    columns = [F.col(f.name) if timed and f.name == "Date" else F.col(f.name).cast(f.dataType) for f in PRICE_SCHEMA]
     if by_symbol:
         one_file_each(prices.select(SYMBOL, *columns), SYMBOL).write.partitionBy(SYMBOL).option("header", True).csv(path)
     else:

@@ -62,6 +62,18 @@ def test_nested_files_dotted_names_and_dates(spark, tmp_path):
     assert px.repeated_dates(got).count() == 0 and px.repeated_dates(got.union(got)).count() == 3
 
 
+def test_times_of_day_order_intraday_rows(spark, tmp_path):
+    texts = ["2020-01-03 09:30:00", "2020-01-03T09:31:00", "1/3/2020 9:32", "3.1.2020 9:33:00", "2020/01/03 09:34", "2020-01-04", "never"]
+    closes = [5, 3, 4, 1, 2, 9, 8]
+    write(tmp_path, "A.csv", HEADER + "".join(f"{t},{c},1,1,1,1\n" for t, c in zip(texts, closes)))
+    got = px.scan_prices(spark, str(tmp_path), intraday=True)
+    assert dict(got.dtypes)["Date"] == "timestamp" and px.repeated_dates(got).count() == 0
+    rows = got.orderBy("Date").collect()
+    assert [r["Close"] for r in rows] == closes[:6] and rows[2]["Date"] == dt.datetime(2020, 1, 3, 9, 32)
+    px.export_prices(got, str(tmp_path / "out"), by_symbol=True)
+    assert sorted(px.scan_prices(spark, str(tmp_path / "out"), intraday=True).collect()) == sorted(rows)
+
+
 @pytest.mark.parametrize(
     "header",
     [
