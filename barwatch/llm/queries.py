@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barwatch.llm import classifier, containment, fmindex, licences, lines, mixing, randomness, runindex, shards, simhash
+from barwatch.llm import (
+    classifier, containment, fmindex, importance, infill, licences, lines, mixing, randomness, runindex, shards, simhash, urls,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_run_index": runindex.op1_run_index,
@@ -19,6 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licences": licences.op8_licences,
     "op9_mixing": mixing.op9_mixing,
     "op10_secrets": randomness.op10_secrets,
+    "op11_url_rules": urls.op11_url_rules,
+    "op12_fill_in_middle": infill.op12_fill_in_middle,
+    "op13_importance_resampling": importance.op13_importance_resampling,
 }
 
 SQL: dict[str, str] = {
@@ -26,4 +31,6 @@ SQL: dict[str, str] = {
     "op5_fm_index": fmindex.OP5_SQL,
     "op7_decontamination": containment.OP7_SQL,
     "op9_mixing": mixing.OP9_SQL,
+    "op11_url_rules": urls.OP11_SQL,
+    "op12_fill_in_middle": infill.OP12_SQL,
 }
