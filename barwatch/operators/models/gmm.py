@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwatch.operators.models.grouped import in_turns, score_groups, sum_over_rows, to_matrix
-from barwatch.operators.models.kmeans import seed_rows
+from barwatch.operators.models.grouped import Fit, State, fit_groups, score_groups, to_matrix
+from barwatch.operators.models.seeding import Seeding, nearest
 from barwatch.operators.score import ambiguity
 from barwatch.session import ship_package
 
-# Components, seed, and the library defaults of the fit.
-K, SEED, MAX_ITER, TOL = 5, 1, 100, 0.01
+# Components, seed, and the most passes.
+K, SEED, MAX_ITER = 5, 1, 100
 
-_SEEDING_ROWS = 200
+# The fit ends when a pass changes the mean log-likelihood of a row by less.
+TOL = 1e-4
+# Added to every variance, so that no component shrinks to a point.
+_RIDGE = 1e-6
 
 
 def _mixture(weights: np.ndarray, means: np.ndarray, covs: np.ndarray) -> dict[str, np.ndarray]:
@@ -33,8 +35,8 @@ def _mixture(weights: np.ndarray, means: np.ndarray, covs: np.ndarray) -> dict[s
 
 
 def _log_joint(x: np.ndarray, mix: dict) -> np.ndarray:
-    whitened = np.einsum("nkd,kde->nke", x[:, None, :] - mix["means"], mix["whiten"])
-    return mix["logs"] - 0.5 * (whitened**2).sum(axis=2)
+    squares = [(((x - m) @ w) ** 2).sum(axis=1) for m, w in zip(mix["means"], mix["whiten"])]
+    return mix["logs"] - 0.5 * np.stack(squares, axis=1)
 
 
 def _posterior(x: np.ndarray, mix: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -44,10 +46,9 @@ def _posterior(x: np.ndarray, mix: dict) -> tuple[np.ndarray, np.ndarray]:
     return np.exp(joint - total), total
 
 
-def _moments(x: np.ndarray, mix: dict) -> np.ndarray:
-    share, total = _posterior(x, mix)
-    second = np.einsum("nk,nd,ne->kde", share, x, x, optimize=True)
-    return np.concatenate([[total.sum()], share.sum(axis=0), (share.T @ x).ravel(), second.ravel()])
+def _moments(x: np.ndarray, share: np.ndarray, total: float) -> np.ndarray:
+    second = np.stack([(x * share[:, j : j + 1]).T @ x for j in range(share.shape[1])])
+    return np.concatenate([[total], share.sum(axis=0), (share.T @ x).ravel(), second.ravel()])
 
 
 def _from_moments(sums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,55 +59,61 @@ def _from_moments(sums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.
     return sizes / sizes.sum(), means, covs
 
 
-def _start(rows: pd.DataFrame, k: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each component starts at five drawn rows: their mean and their spread."""
-    x = np.stack(rows["features"].sort_values(key=lambda s: s.map(tuple)))
-    draws = np.random.default_rng(seed).integers(len(x), size=(k, 5))
-    means = x[draws].mean(axis=1)
-    spread = np.maximum(x[draws].var(axis=1), 1e-6)
-    return np.full(k, 1 / k), means, spread[:, :, None] * np.eye(x.shape[1])
-
-
-def fit_groups(points: DataFrame, group: str, k: int = K, seed: int = SEED) -> DataFrame:
-    """One mixture per group by expectation maximisation; all groups advance together."""
-    spark = points.sparkSession
-    ship_package(spark)
-
-    def start(rows: pd.DataFrame) -> pd.DataFrame:
-        weights, means, covs = _start(rows, k, seed)
-        return pd.DataFrame(
-            {group: rows[group].iloc[:1], "weights": [weights], "means": [means.ravel()], "covs": [covs.ravel()]}
-        )
-
-    seeds = (
-        seed_rows(points, group, _SEEDING_ROWS, seed)
-        .groupBy(group)
-        .applyInPandas(start, f"{group} string, weights array<double>, means array<double>, covs array<double>")
-        .persist()
-    )
-    rows = points.select(group, "features")
-    fitted = []
-    for turn in in_turns(seeds, 3 * k * 12 * 13 * 8):
-        mixtures = {}
-        for key, row in turn.items():
-            d = len(row["means"]) // k
-            covs = np.array(row["covs"]).reshape(k, d, d)
-            mixtures[key] = _mixture(np.array(row["weights"]), np.array(row["means"]).reshape(k, d), covs)
-        moving, reached = dict(mixtures), {}
-        for _ in range(MAX_ITER):
-            if not moving:
-                break
-            for key, sums in sum_over_rows(rows, moving, _moments).items():
-                mixtures[key] = moving[key] = _mixture(*_from_moments(sums, k))
-                if abs(sums[0] - reached.get(key, -np.inf)) < TOL:
-                    del moving[key]
-                reached[key] = sums[0]
-        fitted += [
-            (key, m["means"].ravel().tolist(), m["whiten"].ravel().tolist(), m["logs"].tolist())
-            for key, m in mixtures.items()
-        ]
-    seeds.unpersist()
-    return spark.createDataFrame(fitted, f"{group} string, means array<double>, whiten array<double>, logs array<double>")
+class MixtureFit(Fit):
+    """Starting centres, a mixture of the rows nearest to each, then expectation maximisation until the mean stands still."""
+
+    fields = "weights array<double>, means array<double>, whiten array<double>, logs array<double>"
+
+    def __init__(self, k: int = K, seed: int = SEED) -> None:
+        self.k, self.seeding = k, Seeding(k, seed)
+
+    def start(self, width: int) -> State:
+        return self.seeding.start(width)
+
+    def partial(self, state: State, x: np.ndarray, u: np.ndarray) -> np.ndarray:
+        if state.phase <= Seeding.LAST:
+            return self.seeding.partial(state, x, u)
+        if state.phase == Seeding.LAST + 1:
+            share = np.eye(self.k)[nearest(x, state.values[1:].reshape(self.k, -1))[0]]
+            return np.append(len(x), _moments(x, share, 0.0))
+        share, total = _posterior(x, _mixture(*self._read(state)))
+        return np.append(len(x), _moments(x, share, total.sum()))
+
+    def merge(self, phase: int, parts: list[np.ndarray]) -> np.ndarray:
+        return self.seeding.merge(phase, parts) if phase <= Seeding.LAST else super().merge(phase, parts)
+
+    def update(self, state: State, total: np.ndarray) -> State:
+        if state.phase <= Seeding.LAST:
+            return self.seeding.update(state, total)
+        weights, means, covs = _from_moments(total[1:], self.k)
+        first = state.phase == Seeding.LAST + 1
+        if first:
+            # A start with few rows borrows the spread that all of them have around their own centre.
+            rows, d = weights * total[0], means.shape[1]
+            pooled = np.tensordot(weights, covs, 1)
+            covs = (rows[:, None, None] * covs + d * pooled) / (rows[:, None, None] + d)
+        covs = covs + _RIDGE * np.eye(means.shape[1])
+        reached = -np.inf if first else total[1] / total[0]
+        settled = abs(reached - state.values[1]) < TOL if not first else False
+        values = np.concatenate([[state.values[0], reached], weights, means.ravel(), covs.ravel()])
+        return State(state.phase + 1, values, bool(settled or state.phase >= Seeding.LAST + 1 + MAX_ITER))
+
+    def result(self, state: State) -> dict[str, object]:
+        weights, means, covs = self._read(state)
+        mix = _mixture(weights, means, covs)
+        return {"weights": weights.tolist(), **{name: mix[name].ravel().tolist() for name in ("means", "whiten", "logs")}}
+
+    def _read(self, state: State) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        k, d = self.k, int(state.values[0])
+        weights, means, covs = np.split(state.values[2:], [k, k + k * d])
+        return weights, means.reshape(k, d), covs.reshape(k, d, d)
+
+
+def fit(points: DataFrame, by: str | None, k: int = K, seed: int = SEED, rows_per_task: int | None = None) -> DataFrame:
+    """``weights``, ``means``, whitening matrices and log constants of one mixture per group, or of one over all rows."""
+    if by:
+        return fit_groups(points, by, MixtureFit(k, seed), seed, rows_per_task)
+    return fit_groups(points.withColumn("_all", F.lit("all")), "_all", MixtureFit(k, seed), seed, rows_per_task).drop("_all")
 
 
 def from_lists(row: dict) -> dict[str, np.ndarray]:
@@ -142,11 +149,10 @@ def score_with(rows: DataFrame, mix: dict[str, np.ndarray]) -> DataFrame:
     return rows.withColumn("_found", assigned("features")).select("*", "_found.*").drop("_found")
 
 
-def score(rows: DataFrame, points: DataFrame, by: str | None, k: int = K, seed: int = SEED) -> DataFrame:
-    """Add ``cluster`` and ``distance``; without ``by`` one mixture over all rows, fitted like a group of its own."""
+def score(rows: DataFrame, params: DataFrame, by: str | None) -> DataFrame:
+    """Add ``cluster`` and ``distance`` by the mixtures of :func:`fit`."""
     if by:
-        scored = score_groups(rows, fit_groups(points, by, k, seed), by, _score_group, "cluster int, max_prob double")
+        scored = score_groups(rows, params, by, _score_group, "cluster int, max_prob double")
     else:
-        only = fit_groups(points.withColumn("_all", F.lit("all")), "_all", k, seed).first()
-        scored = score_with(rows, from_lists(only.asDict()))
+        scored = score_with(rows, from_lists(params.first().asDict()))
     return scored.withColumn("distance", ambiguity(F.col("max_prob"))).drop("max_prob")

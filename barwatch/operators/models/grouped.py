@@ -1,88 +1,69 @@
-"""Fitting many small models at once, one pass over the rows per step.
-
-Rows never move: each task adds up its rows' contributions per group, Spark
-sums those over all tasks, and only parameters come to the driver.
+"""Fitting many models at once, one per group of rows.
+
+A fit is a row of passes.  In each pass the rows of a group add up to a total
+under the group's state, and the total moves the state on.  A group that one
+task can hold goes through all its passes there.  A larger one is dealt over
+tasks once and its rows stay where they were dealt: each pass brings the
+state to them, totals are merged in a tree, and the new states are written.
+Only the number of groups still moving reaches the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from barwatch.session import ship_package
-
-# Parameters held on the driver at once; more groups are fitted in turns.
-DRIVER_BYTES = 1 << 30
+from barwatch.session import materialize, ship_package
 
-# Rows of one group that one task scores.
+# Rows of one group that one task fits or scores.
 ROWS_PER_TASK = 200_000
+# Totals that one task merges.
+FAN_IN = 256
 
 
-def matrices(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
-    """Split an Arrow batch of ``(group, features)`` into one matrix per group."""
-    keys = batch.column(0).dictionary_encode()
-    codes = keys.indices.to_numpy(zero_copy_only=False)
-    for code, key in enumerate(keys.dictionary.to_pylist()):
-        yield key, to_matrix(batch.column(1).filter(pa.array(codes == code)))
+class State(NamedTuple):
+    """Where a group's fit stands: the pass it is at, and numbers that its fit can read."""
 
+    phase: int
+    values: np.ndarray
+    done: bool = False
 
-def to_matrix(lists: pa.ListArray) -> np.ndarray:
-    values = lists.flatten().to_numpy(zero_copy_only=False)
-    return values.reshape(len(lists), -1)
 
+class Fit:
+    """One model's passes.  ``fields`` is the schema of its result."""
 
-def sum_over_rows(
-    rows: DataFrame, params: dict[str, object], step: Callable[[np.ndarray, object], np.ndarray]
-) -> dict[str, np.ndarray]:
-    """``sum(step(matrix, params[group]))`` per group over all ``(group, features)`` rows."""
-    spark = rows.sparkSession
-    ship_package(spark)
-    shared = spark.sparkContext.broadcast(params)
+    fields: str
+    rows_per_task = ROWS_PER_TASK
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for key, x in matrices(batch):
-                if key in shared.value:
-                    totals[key] = totals.get(key, 0.0) + step(x, shared.value[key])
-        for key, total in totals.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([key] * len(total)), pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)],
-                names=["group", "place", "value"],
-            )
-
-    sums = (
-        rows.mapInArrow(partial, "group string, place int, value double")
-        .groupBy("group", "place")
-        .agg(F.sum("value").alias("value"))
-        .toArrow()
-    )
-    shared.unpersist()
-    places, values = sums.column("place").to_numpy(), sums.column("value").to_numpy()
-    keys = sums.column("group").combine_chunks().dictionary_encode()
-    codes = keys.indices.to_numpy()
-    order = np.lexsort((places, codes))
-    starts = np.searchsorted(codes[order], np.arange(len(keys.dictionary)))
-    return dict(zip(keys.dictionary.to_pylist(), np.split(values[order], starts[1:])))
+    def start(self, width: int) -> State:
+        """The state of a group whose rows have ``width`` features."""
+        raise NotImplementedError
 
+    def partial(self, state: State, x: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """What these rows add; ``u`` is a number in [0, 1) for each row, the same in every run."""
+        raise NotImplementedError
 
-def in_turns(groups: DataFrame, bytes_per_group: int) -> Iterator[dict[str, dict]]:
-    """Yield the groups' attributes, as many at a time as the driver may hold.
+    def merge(self, phase: int, parts: list[np.ndarray]) -> np.ndarray:
+        return np.sum(parts, axis=0)
 
-    ``groups`` has one row per group, named by its first column.
-    """
-    name = groups.columns[0]
-    turns = max(1, -(-groups.count() * bytes_per_group // DRIVER_BYTES))
-    for turn in range(turns):
-        mine = groups.where(F.pmod(F.xxhash64(name), F.lit(turns)) == turn)
-        rows = mine.toArrow().to_pylist()
-        if rows:
-            yield {row[name]: row for row in rows}
+    def update(self, state: State, total: np.ndarray) -> State:
+        raise NotImplementedError
+
+    def result(self, state: State) -> dict[str, object]:
+        raise NotImplementedError
+
+
+def to_matrix(lists: pa.ListArray) -> np.ndarray:
+    values = lists.flatten().to_numpy(zero_copy_only=False)
+    return values.reshape(len(lists), -1)
 
 
 def unit_hash(*columns, seed: int):
@@ -91,6 +72,112 @@ def unit_hash(*columns, seed: int):
     return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(span)) / span
 
 
+def _rows_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Features and hashes in the order of the hashes, so that sums agree to the last bit."""
+    u = table.column("_u").to_numpy()
+    order = np.argsort(u, kind="stable")
+    return to_matrix(table.column("features").combine_chunks())[order], u[order]
+
+
+def _arrow(schema: str | StructType) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+
+
+def fit_groups(points: DataFrame, group: str, fit: Fit, seed: int, rows_per_task: int | None = None) -> DataFrame:
+    """One row per ``group`` with the fields of ``fit``, written by the executors.
+
+    ``points`` has ``symbol`` and ``_pos``, which name a row, ``features``, and ``group_rows``.
+    """
+    ship_package(points.sparkSession)
+    rows_per_task = rows_per_task or fit.rows_per_task
+    schema = f"{group} string, {fit.fields}"
+    fields = _arrow(schema)
+    rows = points.select(
+        group, "group_rows", unit_hash("symbol", "_pos", seed=seed).alias("_u"), "features",
+        F.pmod(F.xxhash64("symbol", "_pos"), F.ceil(F.col("group_rows") / rows_per_task)).alias("_deal"),
+    )
+
+    def whole(table: pa.Table) -> pa.Table:
+        x, u = _rows_of(table)
+        state = fit.start(x.shape[1])
+        while not state.done:
+            state = fit.update(state, fit.partial(state, x, u))
+        return pa.Table.from_pylist([{group: table.column(group)[0].as_py(), **fit.result(state)}], fields)
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [{group: row[group], **fit.result(State(row["phase"], np.array(row["values"]), True))} for row in batch.to_pylist()]
+            yield from pa.Table.from_pylist(found, fields).to_batches()
+
+    small = rows.where(F.col("group_rows") <= rows_per_task)
+    fitted = small.groupBy(group).applyInArrow(whole, schema)
+    large = rows.where(F.col("group_rows") > rows_per_task)
+    if large.isEmpty():
+        return materialize(fitted, "models")
+    states = _passes(large, group, fit, rows_per_task)
+    return materialize(fitted.union(states.mapInArrow(finished, schema)), "models")
+
+
+def _passes(rows: DataFrame, group: str, fit: Fit, rows_per_task: int) -> DataFrame:
+    """The final states of groups whose rows are dealt over many tasks."""
+    spark = rows.sparkSession
+    state_fields = f"{group} string, deals bigint, phase int, values array<double>, done boolean"
+    part_fields = f"{group} string, _deal bigint, phase int, total array<double>"
+    state_arrow, part_arrow = _arrow(state_fields), _arrow(part_fields)
+
+    def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for row in batch.to_pylist():
+                state = fit.start(row["width"])
+                found.append({group: row[group], "deals": row["deals"], "phase": state.phase, "values": state.values, "done": state.done})
+            yield from pa.Table.from_pylist(found, state_arrow).to_batches()
+
+    def add_up(key: tuple, mine: pa.Table, own: pa.Table) -> pa.Table:
+        if not len(mine) or not len(own):
+            return part_arrow.empty_table()
+        state = State(own.column("phase")[0].as_py(), np.array(own.column("values")[0].as_py()))
+        total = fit.partial(state, *_rows_of(mine))
+        return pa.Table.from_pylist([{group: key[0].as_py(), "_deal": key[1].as_py(), "phase": state.phase, "total": total}], part_arrow)
+
+    def merge(key: tuple, parts: pa.Table) -> pa.Table:
+        parts = parts.sort_by("_part")
+        phase = parts.column("phase")[0].as_py()
+        total = fit.merge(phase, [np.array(t.as_py()) for t in parts.column("total")])
+        return pa.Table.from_pylist([{group: key[0].as_py(), "_deal": key[1].as_py(), "phase": phase, "total": total}], part_arrow)
+
+    def move_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for row in batch.to_pylist():
+                state = fit.update(State(row["phase"], np.array(row["values"])), np.array(row["total"]))
+                found.append({group: row[group], "deals": row["deals"], "phase": state.phase, "values": state.values, "done": state.done})
+            yield from pa.Table.from_pylist(found, state_arrow).to_batches()
+
+    groups = rows.groupBy(group).agg(
+        F.ceil(F.first("group_rows") / rows_per_task).alias("deals"), F.first(F.size("features")).alias("width")
+    )
+    states = materialize(groups.mapInArrow(begun, state_fields), "fit-states")
+    all_deals, most = states.agg(F.sum("deals"), F.max("deals")).first()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(all_deals, 20_000))
+    dealt = rows.select(group, "_deal", "_u", "features").repartition(tasks, group, "_deal").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        while not states.where("not done").isEmpty():
+            moving = states.where("not done")
+            copies = moving.select(group, "phase", "values", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("_deal"))
+            parts = dealt.groupBy(group, "_deal").cogroup(copies.groupBy(group, "_deal")).applyInArrow(add_up, part_fields)
+            left = most
+            while left > 1:
+                parts = parts.withColumnRenamed("_deal", "_part").withColumn("_deal", F.expr(f"_part div {FAN_IN}"))
+                parts = parts.groupBy(group, "_deal").applyInArrow(merge, part_fields)
+                left = -(-left // FAN_IN)
+            totals = parts.select(group, "total").join(moving, group)
+            states = materialize(totals.mapInArrow(move_on, state_fields).union(states.where("done")), "fit-states")
+    finally:
+        dealt.unpersist()
+    return states
+
+
 def score_groups(
     rows: DataFrame, params: DataFrame, group: str, score: Callable[[np.ndarray, list[dict]], dict], fields: str
 ) -> DataFrame:

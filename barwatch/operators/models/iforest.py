@@ -14,7 +14,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barwatch.operators.models.grouped import score_groups, to_matrix, unit_hash
-from barwatch.session import ship_package
+from barwatch.session import materialize, ship_package
 
 # Trees, rows per tree, seed, and the constant of the harmonic number.
 TREES, TREE_ROWS, SEED = 100, 256, 42
@@ -76,8 +76,11 @@ def grow(x: np.ndarray, rng: np.random.Generator) -> dict[str, list]:
     return nodes
 
 
-def fit(points: DataFrame, group: str, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = SEED) -> DataFrame:
-    """One row per group and tree, nodes as arrays."""
+def fit(points: DataFrame, by: str | None, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = SEED) -> DataFrame:
+    """One row per group and tree, nodes as arrays; without ``by`` one forest over all rows."""
+    if not by:
+        return fit(points.withColumn("_all", F.lit("all")), "_all", trees, tree_rows, seed).drop("_all")
+    group = by
 
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(rows.sort_values("_draw")["features"])
@@ -88,7 +91,7 @@ def fit(points: DataFrame, group: str, trees: int = TREES, tree_rows: int = TREE
 
     ship_package(points.sparkSession)
     samples = tree_samples(points, group, trees, tree_rows, seed)
-    return samples.groupBy(group, "tree").applyInPandas(build, f"{group} string, {_TREE_SCHEMA}")
+    return materialize(samples.groupBy(group, "tree").applyInPandas(build, f"{group} string, {_TREE_SCHEMA}"), "models")
 
 
 def forest_score(x: np.ndarray, forest: list[dict]) -> np.ndarray:
@@ -107,16 +110,12 @@ def forest_score(x: np.ndarray, forest: list[dict]) -> np.ndarray:
     return 2.0 ** (-depth / len(forest) / max(drawn, 1e-12))
 
 
-def score(
-    rows: DataFrame, points: DataFrame, by: str | None, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = SEED
-) -> DataFrame:
-    """Add ``distance``, the isolation score."""
+def score(rows: DataFrame, params: DataFrame, by: str | None) -> DataFrame:
+    """Add ``distance``, the isolation score under the trees of :func:`fit`."""
     if by:
-        forest = fit(points, by, trees, tree_rows, seed)
-        return score_groups(rows, forest, by, lambda x, own: {"distance": forest_score(x, own)}, "distance double")
+        return score_groups(rows, params, by, lambda x, own: {"distance": forest_score(x, own)}, "distance double")
     # At most 100 trees of 511 nodes, whatever the data: small enough to ship.
-    forest = fit(points.withColumn("_all", F.lit("all")), "_all", trees, tree_rows, seed).drop("_all").collect()
-    shared = rows.sparkSession.sparkContext.broadcast([tree.asDict() for tree in forest])
+    shared = rows.sparkSession.sparkContext.broadcast([tree.asDict() for tree in params.collect()])
 
     @F.arrow_udf("double")
     def isolation(features: pa.Array) -> pa.Array:

@@ -3,92 +3,74 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwatch.operators.models.grouped import in_turns, sum_over_rows, unit_hash
+from barwatch.operators.models.grouped import Fit, State, fit_groups
+from barwatch.operators.models.seeding import Seeding, nearest
 from barwatch.operators.score import distance_to_centre, nearest_centre
-from barwatch.session import join_parameters, ship_package
+from barwatch.session import join_parameters, materialize
 
 # Clusters, seed, and the library defaults of the fit.
 K, SEED, MAX_ITER, TOL = 5, 42, 20, 1e-4
 
-_SEEDING_ROWS = 400
+FIELDS = "centres array<array<double>>"
 
 
-def fit(points: DataFrame, k: int = K, seed: int = SEED) -> list[list[float]]:
-    """Centres of one model over all rows."""
+class KMeansFit(Fit):
+    """k-means|| and then Lloyd's steps, each a pass over all rows of a group."""
+
+    fields = FIELDS
+
+    def __init__(self, k: int = K, seed: int = SEED) -> None:
+        self.k, self.seeding = k, Seeding(k, seed)
+
+    def start(self, width: int) -> State:
+        return self.seeding.start(width)
+
+    def partial(self, state: State, x: np.ndarray, u: np.ndarray) -> np.ndarray:
+        if state.phase <= Seeding.LAST:
+            return self.seeding.partial(state, x, u)
+        member = np.eye(self.k)[nearest(x, self._centres(state))[0]]
+        return np.concatenate([member.sum(axis=0), (member.T @ x).ravel()])
+
+    def merge(self, phase: int, parts: list[np.ndarray]) -> np.ndarray:
+        return self.seeding.merge(phase, parts) if phase <= Seeding.LAST else super().merge(phase, parts)
+
+    def update(self, state: State, total: np.ndarray) -> State:
+        if state.phase <= Seeding.LAST:
+            return self.seeding.update(state, total)
+        old, sizes = self._centres(state), total[: self.k, None]
+        new = np.where(sizes > 0, total[self.k :].reshape(self.k, -1) / np.maximum(sizes, 1), old)
+        still = (((new - old) ** 2).sum(axis=1) <= TOL**2).all()
+        return State(state.phase + 1, np.append(state.values[0], new.ravel()), bool(still or state.phase >= Seeding.LAST + MAX_ITER))
+
+    def result(self, state: State) -> dict[str, object]:
+        return {"centres": self._centres(state).tolist()}
+
+    def _centres(self, state: State) -> np.ndarray:
+        return state.values[1:].reshape(self.k, -1)
+
+
+def fit(points: DataFrame, by: str | None, k: int = K, seed: int = SEED, rows_per_task: int | None = None) -> DataFrame:
+    """``centres`` of one model per group, or of one over all rows."""
+    if by:
+        return fit_groups(points, by, KMeansFit(k, seed), seed, rows_per_task)
     vectors = points.select(array_to_vector("features").alias("features"))
     model = KMeans(featuresCol="features", k=k, seed=seed).fit(vectors)
-    return [centre.tolist() for centre in model.clusterCenters()]
-
-
-def seed_rows(points: DataFrame, group: str, target: int, seed: int) -> DataFrame:
-    """About ``target`` rows per group to start a fit from (the fit itself uses all rows)."""
-    chosen = unit_hash(group, "_pos", seed=seed) < target / F.col("group_rows")
-    return points.where(chosen).select(group, "features")
-
-
-def _spread_out(rows: pd.DataFrame, k: int, seed: int) -> list[list[float]]:
-    """Starting centres far apart: each drawn by its squared distance to those before."""
-    x = np.stack(rows["features"].sort_values(key=lambda s: s.map(tuple)))
-    rng = np.random.default_rng(seed)
-    centres = [x[rng.integers(len(x))]]
-    while len(centres) < k:
-        gap = np.min([((x - c) ** 2).sum(axis=1) for c in centres], axis=0)
-        centres.append(x[rng.choice(len(x), p=gap / gap.sum()) if gap.sum() > 0 else 0])
-    return [c.tolist() for c in centres]
-
-
-def _cluster_sums(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    distance = ((x[:, None, :] - centres) ** 2).sum(axis=2)
-    member = np.eye(len(centres))[distance.argmin(axis=1)]
-    return np.concatenate([member.sum(axis=0), (member.T @ x).ravel()])
-
-
-def fit_groups(points: DataFrame, group: str, k: int = K, seed: int = SEED) -> DataFrame:
-    """Centres of one model per group; all groups advance together."""
-    spark = points.sparkSession
-    ship_package(spark)
-
-    def start(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({group: rows[group].iloc[:1], "centres": [_spread_out(rows, k, seed)]})
-
-    seeds = (
-        seed_rows(points, group, _SEEDING_ROWS, seed)
-        .groupBy(group)
-        .applyInPandas(start, f"{group} string, centres array<array<double>>")
-        .persist()
-    )
-    rows = points.select(group, "features")
-    fitted = []
-    for turn in in_turns(seeds, k * 12 * 8):
-        centres = {key: np.array(row["centres"]) for key, row in turn.items()}
-        moving = dict(centres)
-        for _ in range(MAX_ITER):
-            if not moving:
-                break
-            for key, total in sum_over_rows(rows, moving, _cluster_sums).items():
-                sizes, old = total[:k, None], centres[key]
-                new = np.where(sizes > 0, total[k:].reshape(k, -1) / np.maximum(sizes, 1), old)
-                centres[key] = moving[key] = new
-                if (((new - old) ** 2).sum(axis=1) <= TOL**2).all():
-                    del moving[key]
-        fitted += [(key, c.tolist()) for key, c in centres.items()]
-    seeds.unpersist()
-    return spark.createDataFrame(fitted, f"{group} string, centres array<array<double>>")
-
-
-def score(rows: DataFrame, points: DataFrame, by: str | None, k: int = K, seed: int = SEED) -> DataFrame:
-    """Add ``cluster`` and ``distance``."""
+    # k vectors of at most twelve numbers.
+    centres = [centre.tolist() for centre in model.clusterCenters()]
+    return materialize(points.sparkSession.createDataFrame([(centres,)], FIELDS), "models")
+
+
+def score(rows: DataFrame, params: DataFrame, by: str | None) -> DataFrame:
+    """Add ``cluster`` and ``distance`` by the centres of :func:`fit`."""
     if by:
-        rows = join_parameters(rows, fit_groups(points, by, k, seed), [by])
+        rows = join_parameters(rows, params, [by], written=True)
     else:
-        centres = [F.array(*[F.lit(x) for x in centre]) for centre in fit(points, k, seed)]
-        rows = rows.withColumn("centres", F.array(*centres))
+        rows = rows.withColumn("centres", params.select("centres").scalar())
     return assign(rows, F.col("centres")).drop("centres")
 
 

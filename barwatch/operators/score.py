@@ -78,11 +78,14 @@ def exact_quantile(
 
     A large group is narrowed first: quantile sketches, which merge on the map
     side, bound the two order statistics from both sides until few enough
-    values lie between to rank them.  Equal values collapse into one row with
-    a count, so copies cannot swell the ranking either.
+    values lie between to rank them.  A group is done when its own count no longer
+    falls, as where copies fill its bounds; the others go on.  Equal values
+    collapse into one row with a count, so copies cannot swell the ranking
+    either, and where a group has still more values than one task should rank,
+    they are sorted by range over many.
     """
     values = values.select(*by, F.col(column).alias("v"))
-    sizes = materialize(values.groupBy(*by).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")), "sizes")
+    sizes = values.groupBy(*by).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     target = p * (F.col("n") - 1)
     bounds = sizes.select(
         *by,
@@ -93,44 +96,41 @@ def exact_quantile(
         F.col("n").alias("inside"),
         F.floor(target).alias("rank"),
         (target - F.floor(target)).alias("part"),
+        F.lit(None).cast("long").alias("was"),
     )
     bounds = materialize(bounds, "bounds")
     grid = [i / _STEPS for i in range(_STEPS + 1)]
-    left = None
+    large = F.col("inside") > ranked_rows
     while True:
-        wide = bounds.where((F.col("inside") > ranked_rows) & (F.col("lo") < F.col("hi")))
-        inside = wide.agg(F.sum("inside")).first()[0] or 0
-        # Where copies of one value fill the bounds they stop closing in; the
-        # copies collapse below, and what else is left is a few steps' worth.
-        if not inside or (left is not None and inside > 0.9 * left):
+        falls = F.col("was").isNull() | (F.col("inside") <= 0.9 * F.col("was"))
+        open_ = F.coalesce(large & (F.col("lo") < F.col("hi")) & falls, F.lit(False))
+        wide = bounds.where(open_)
+        if wide.isEmpty():
             break
-        left = inside
-        sketch = _within(values, bounds, by).groupBy(*by).agg(
+        sketch = _within(values, wide, by).groupBy(*by).agg(
             F.percentile_approx("v", grid, 100 * _STEPS).alias("grid"),
             *[F.first(c).alias(c) for c in ("n", "lo", "hi", "below", "inside", "rank", "part")],
         )
         # One grid step of slack on each side is 100 times the sketch's error.
         step = lambda rank: F.floor((rank - F.col("below")) / F.col("inside") * _STEPS)
         narrow = sketch.select(
-            *by, "n", "rank", "part",
+            *by, "n", "rank", "part", F.col("inside").alias("was"),
             F.greatest("lo", F.get("grid", F.greatest(step(F.col("rank")) - 1, F.lit(0)).cast("int"))).alias("new_lo"),
             F.least("hi", F.get("grid", F.least(step(F.col("rank") + 1) + 2, F.lit(_STEPS)).cast("int"))).alias("new_hi"),
         )
         counted = _with_bounds(values, narrow, by).groupBy(*by).agg(
-            *[F.first(c).alias(c) for c in ("n", "rank", "part")],
+            *[F.first(c).alias(c) for c in ("n", "rank", "part", "was")],
             F.first("new_lo").alias("lo"),
             F.first("new_hi").alias("hi"),
             F.count_if(F.col("v") < F.col("new_lo")).alias("below"),
             F.count_if(F.col("v").between(F.col("new_lo"), F.col("new_hi"))).alias("inside"),
         )
-        bounds = materialize(counted.select(*bounds.columns), "bounds")
-    tallies = (
-        _within(values, bounds, by)
-        .groupBy(*by, "v")
-        .agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("below", "rank", "part")])
-    )
-    upto = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    reach = tallies.withColumn("reach", F.col("below") + F.sum("copies").over(upto))
+        bounds = materialize(counted.select(*bounds.columns).union(bounds.where(~open_)), "bounds")
+    tallies = _within(values, bounds, by).groupBy(*by, "v").agg(F.count("*").alias("copies"))
+    if bounds.where(large).isEmpty():
+        reach = _reach(_with_bounds(tallies, bounds, by).withColumn("before", F.col("below")), by)
+    else:
+        reach = _ranked(tallies, bounds, by, ranked_rows)
     ends = reach.groupBy(*by).agg(
         F.min(F.when(F.col("reach") > F.col("rank"), F.col("v"))).alias("v0"),
         F.min(F.when(F.col("reach") > F.col("rank") + 1, F.col("v"))).alias("v1"),
@@ -140,6 +140,32 @@ def exact_quantile(
     return ends.select(*by, (F.col("v0") + F.col("part") * (F.coalesce("v1", "v0") - F.col("v0"))).alias("cut"))
 
 
+def _reach(tallies: DataFrame, parts: list[str]) -> DataFrame:
+    """Adds how many values of the group lie up to each one; ``before`` lie before its part."""
+    upto = Window.partitionBy(*parts).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    return tallies.withColumn("reach", F.col("before") + F.sum("copies").over(upto))
+
+
+def _ranked(tallies: DataFrame, bounds: DataFrame, by: list[str], ranked_rows: int) -> DataFrame:
+    """As :func:`_reach`, for groups of any size.
+
+    The values are sorted by range over tasks of about half ``ranked_rows``
+    and written; the sums of each task's part of a group say in which parts the
+    two wanted ranks lie, and only those are ranked.
+    """
+    tallies = materialize(tallies, "tallies")
+    tasks = max(1, -(-2 * tallies.count() // ranked_rows))
+    ordered = tallies.repartitionByRange(tasks, *by, "v").withColumn("_task", F.spark_partition_id())
+    ordered = materialize(ordered, "by-range")
+    before = Window.partitionBy(*by).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ordered.groupBy(*by, "_task").agg(F.sum("copies").alias("held"))
+    parts = parts.withColumn("_earlier", F.coalesce(F.sum("held").over(before), F.lit(0)))
+    placed = _with_bounds(parts, bounds, by).withColumn("before", F.col("below") + F.col("_earlier"))
+    wanted = placed.where((F.col("before") < F.col("rank") + 2) & (F.col("before") + F.col("held") > F.col("rank")))
+    wanted = wanted.select(*by, "_task", "before", "rank", "part")
+    return _reach(join_parameters(ordered, wanted, [*by, "_task"]), [*by, "_task"])
+
+
 def _with_bounds(values: DataFrame, bounds: DataFrame, by: list[str]) -> DataFrame:
     if by:
         return join_parameters(values, bounds, by)

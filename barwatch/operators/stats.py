@@ -30,16 +30,13 @@ def moments(df: DataFrame, by: list[str], features: list[str] = FEATURES) -> Dat
 
 
 def with_z(df: DataFrame, by: list[str], features: list[str] = FEATURES) -> DataFrame:
-    """Add ``_n`` and the standardised features ``_z0, _z1, ...``, null where a column is constant."""
+    """Add the standardised features ``_z0, _z1, ...``, null where a column is constant."""
     own = materialize(moments(df, by, features), "moments")
     if by:
         df = join_parameters(df, own, by, written=True)
     else:
         df = df.withColumns({c: own.select(c).scalar() for c in ("n", "mean", "std")})
-    scaled = {
-        f"_z{i}": (F.col(c) - F.col("mean")[i]) / F.nullif(F.col("std")[i], F.lit(0.0)) for i, c in enumerate(features)
-    }
-    return df.withColumns(scaled).withColumnRenamed("n", "_n").drop("mean", "std")
+    return _scaled(df, features).drop("n", "mean", "std")
 
 
 def correlations(df: DataFrame, by: list[str], features: list[str] = FEATURES) -> DataFrame:
@@ -127,25 +124,50 @@ def standardise(df: DataFrame, columns: list[str], by: list[str] | None = None,
     return joined.withColumns(scaled).drop("_mean", "_std")
 
 
-def model_input(featured: DataFrame, by: str | None, ddof: int = 1, cut: float = CORRELATION_CUT) -> DataFrame:
-    """Add ``features``: the selected columns, standardised within each symbol.
+def feature_space(featured: DataFrame, by: str | None, ddof: int = 1, cut: float = CORRELATION_CUT) -> DataFrame:
+    """Per symbol, what turns its rows into model input: ``mean``, ``std``, ``keep`` (a flag per feature) and ``group_rows``.
 
     With ``by`` each symbol selects its own columns; without it one selection
     holds for all, taken from the pooled correlations.  ``ddof`` 0 divides by
-    the population deviation.  Also adds ``group_rows``, the rows of the model
-    the row belongs to.
+    the population deviation.  ``group_rows`` counts the rows of the model that the symbol belongs to.
     """
-    scaled = with_z(featured, [SYMBOL])
-    own = materialize(correlations(scaled, [SYMBOL]), "correlations")
+    own = materialize(moments(featured, [SYMBOL]), "moments")
+    corr = materialize(correlations(_centred(featured, own), [SYMBOL]), "correlations")
     if by:
-        params = own.select(SYMBOL, keep_mask(F.col("corr"), cut).alias("_keep"))
-        scaled = join_parameters(scaled, params, [SYMBOL]).withColumn("group_rows", F.col("_n"))
+        kept = own.join(corr.select(SYMBOL, keep_mask(F.col("corr"), cut).alias("keep")), SYMBOL).withColumn("group_rows", F.col("n"))
     else:
-        keep = pooled_correlation(own).select(keep_mask(F.col("corr"), cut).alias("keep")).first()["keep"]
-        total = own.agg(F.sum("n")).first()[0]
-        scaled = scaled.withColumns({"_keep": F.array(*[F.lit(k) for k in keep]), "group_rows": F.lit(total)})
-    widen = F.lit(1.0) if ddof else F.sqrt(F.col("_n") / F.nullif(F.col("_n") - 1, F.lit(0)))
+        keep = pooled_correlation(corr).select(keep_mask(F.col("corr"), cut).alias("keep"))
+        kept = own.withColumns({"keep": keep.scalar(), "group_rows": own.agg(F.sum("n")).scalar()})
+    narrow = F.lit(1.0) if ddof else F.sqrt((F.col("n") - 1) / F.col("n"))
+    std = F.transform("std", lambda x: x * narrow)
+    return materialize(kept.select(SYMBOL, "n", "mean", std.alias("std"), "keep", "group_rows"), "space")
+
+
+def _centred(df: DataFrame, own: DataFrame) -> DataFrame:
+    return _scaled(join_parameters(df, own, [SYMBOL], written=True)).drop("n", "mean", "std")
+
+
+def _scaled(df: DataFrame, features: list[str] = FEATURES) -> DataFrame:
+    return df.withColumns(
+        {f"_z{i}": (F.col(c) - F.col("mean")[i]) / F.nullif(F.col("std")[i], F.lit(0.0)) for i, c in enumerate(features)}
+    )
+
+
+def in_space(featured: DataFrame, space: DataFrame) -> DataFrame:
+    """Add ``features``, the selected columns standardised within each symbol, and ``group_rows``.
+
+    ``space`` comes from :func:`feature_space`, perhaps of an earlier run;
+    rows of symbols that it does not have go.  A null or NaN feature is an error; a constant column is 0.
+    """
+    rows = _scaled(join_parameters(featured, space, [SYMBOL], written=True))
     z = [f"_z{i}" for i in range(len(FEATURES))]
-    every = F.array(*[F.coalesce(F.col(c) * widen, F.lit(0.0)) for c in z])
-    chosen = F.filter(every, lambda x, i: F.get("_keep", i))
-    return scaled.withColumn("features", chosen).drop("_keep", "_n", *z)
+    holes = reduce(lambda a, b: a | b, [F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in FEATURES])
+    every = F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in z])
+    chosen = F.filter(every, lambda x, i: F.get("keep", i))
+    checked = F.when(holes, F.raise_error(F.lit("null or NaN among the features"))).otherwise(chosen)
+    return rows.withColumn("features", checked).drop("n", "mean", "std", "keep", *z)
+
+
+def model_input(featured: DataFrame, by: str | None, ddof: int = 1, cut: float = CORRELATION_CUT) -> DataFrame:
+    """Rows with ``features`` and ``group_rows``, in the space of these rows themselves."""
+    return in_space(featured, feature_space(featured, by, ddof, cut))

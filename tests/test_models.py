@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from barwatch.operators.models import gmm, iforest, kmeans, ocsvm
-from barwatch.operators.models.grouped import sum_over_rows
-from barwatch.plans.detect import RESULT, detect_anomalies
+from barwatch.operators.models.seeding import Seeding
+from barwatch.plans.detect import RESULT, detect_anomalies, fit_and_score, read_model, score_with
 from barwatch.schema import MODELS
 
 
@@ -64,7 +64,7 @@ def test_every_model_flags_by_its_own_threshold(spark, model, by):
 
 
 def test_unknown_model_and_scope(spark):
-    with pytest.raises(ValueError, match="Unsupported model type"):
+    with pytest.raises(ValueError, match="dbscan"):
         detect_anomalies(prices(spark, 40), "dbscan")
     with pytest.raises(ValueError):
         detect_anomalies(prices(spark, 40), "kmeans", by="Volume")
@@ -76,40 +76,128 @@ def test_too_short_a_series_gives_an_empty_result(spark, model):
     assert got.columns == RESULT and got.count() == 0
 
 
-def test_kmeans_groups_reach_a_fixed_point(spark):
+@pytest.mark.parametrize("rows_per_task", [None, 40])
+def test_kmeans_groups_reach_a_fixed_point(spark, rows_per_task):
     rng = np.random.default_rng(0)
     blobs = np.concatenate([rng.normal(c, 0.05, size=(60, 3)) for c in ([0, 0, 0], [5, 0, 0], [0, 5, 0], [0, 0, 5], [5, 5, 5])])
-    pts = points_frame(spark, {"a": blobs, "b": blobs[::-1] * 2})
-    fitted = {r["symbol"]: np.array(r["centres"]) for r in kmeans.fit_groups(pts, "symbol").collect()}
+    pts = points_frame(spark, {"a": blobs, "b": blobs[::-1] * 2, "c": blobs[:30]})
+    params = kmeans.fit(pts, "symbol", rows_per_task=rows_per_task)
+    fitted = {r["symbol"]: np.array(r["centres"]) for r in params.collect()}
     for name, x in {"a": blobs, "b": blobs * 2}.items():
         near = ((x[:, None] - fitted[name]) ** 2).sum(2).argmin(1)
         again = np.array([x[near == j].mean(0) for j in range(5)])
         np.testing.assert_allclose(again, fitted[name], atol=1e-3)
-    scored = kmeans.score(pts, pts, "symbol").toPandas()
+        assert (np.bincount(near) == 60).all()
+    scored = kmeans.score(pts, params, "symbol").toPandas()
     for _, row in scored.iterrows():
         gaps = np.sqrt(((np.array(row.features) - fitted[row.symbol]) ** 2).sum(1))
         assert row.distance == pytest.approx(gaps.min(), abs=1e-9) and row.cluster == gaps.argmin()
 
 
-def test_mixture_of_a_group_separates_blobs(spark):
+def test_a_rare_cluster_gets_a_centre(spark):
+    """One row in ten thousand, by one task and by many."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(c, 1.0, size=(10_000, 2)) for c in ([0, 0], [30, 0], [0, 30], [30, 30])] + [rng.normal([400, 400], 1.0, size=(4, 2))])
+    pts = points_frame(spark, {"a": x}, 6)
+    found = [np.array(kmeans.fit(pts, "symbol", rows_per_task=n).first()["centres"]) for n in (None, 9_000)]
+    for centres in found:
+        assert (np.abs(centres - [400, 400]).max(axis=1) < 3).sum() == 1
+    np.testing.assert_allclose(*[c[np.lexsort(c.T)] for c in found], rtol=1e-9)
+
+
+def test_equal_rows_have_equal_centres(spark):
+    pts = points_frame(spark, {"a": np.ones((50, 3)), "b": np.ones((1, 3))})
+    for n in (None, 20):
+        assert {str(r["centres"]) for r in kmeans.fit(pts, "symbol", rows_per_task=n).collect()} == {str([[1.0] * 3] * 5)}
+
+
+def test_seeds_of_parts_merge_to_those_of_the_whole():
+    rng = np.random.default_rng(2)
+    x, u, seeding = rng.normal(size=(500, 4)), rng.random(500), Seeding(3, 1)
+    state = seeding.start(4)
+    while state.phase <= Seeding.LAST:
+        total = seeding.partial(state, x, u)
+        parts = [seeding.partial(state, x[i::7], u[i::7]) for i in range(7)]
+        np.testing.assert_array_equal(seeding.merge(state.phase, [seeding.merge(state.phase, parts[:3]), seeding.merge(state.phase, parts[3:])]), total)
+        state = seeding.update(state, total)
+    assert state.values[1:].reshape(3, 4).shape == (3, 4)
+
+
+@pytest.mark.parametrize("rows_per_task", [None, 100])
+def test_mixture_of_a_group_separates_blobs(spark, rows_per_task):
     rng = np.random.default_rng(1)
     blobs = np.concatenate([rng.normal(c, 0.2, size=(150, 2)) for c in ([0, 0], [6, 0], [0, 6], [6, 6], [3, 12])])
     pts = points_frame(spark, {"a": blobs})
-    got = gmm.score(pts, pts, "symbol").orderBy("_pos").toPandas()
+    params = gmm.fit(pts, "symbol", rows_per_task=rows_per_task)
+    got = gmm.score(pts, params, "symbol").orderBy("_pos").toPandas()
     assert got.distance.between(-1e-8, np.log(5) + 1e-6).all()
-    assert got.cluster.between(0, 4).all()
+    assert got.cluster.to_numpy().reshape(5, 150).std(axis=1).max() == 0 and got.cluster.nunique() == 5
+    np.testing.assert_allclose(params.first()["weights"], [0.2] * 5, atol=1e-6)
     # Collinear features leave a direction without spread; it must not break the fit.
-    flat = np.column_stack([blobs, np.zeros(len(blobs))])
-    again = gmm.score(points_frame(spark, {"a": flat}), points_frame(spark, {"a": flat}), "symbol")
+    flat = points_frame(spark, {"a": np.column_stack([blobs, np.zeros(len(blobs))])})
+    again = gmm.score(flat, gmm.fit(flat, "symbol", rows_per_task=rows_per_task), "symbol")
     assert again.where(F.isnan("distance") | F.col("distance").isNull()).count() == 0
 
 
+def mixture_passes(x, u):
+    fit = gmm.MixtureFit()
+    state, passes = fit.start(x.shape[1]), 0
+    while not state.done:
+        state, passes = fit.update(state, fit.partial(state, x, u)), passes + 1
+    return passes
+
+
+def test_a_mixture_takes_as_many_passes_on_copies_of_the_rows():
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, s, size=(300, 3)) for c, s in ([(0, 0, 0), 1.0], [(4, 0, 1), 0.5], [(0, 5, 2), 2.0])])
+    u = rng.random(len(x))
+    once, often = mixture_passes(x, u), mixture_passes(np.tile(x, (100, 1)), rng.random(100 * len(x)))
+    fit = gmm.MixtureFit()
+    # From one start, the steps themselves do not see how many copies there are.
+    state = fit.start(3)
+    while state.phase <= Seeding.LAST:
+        state = fit.update(state, fit.partial(state, x, u))
+    counts = []
+    for rows in (x, np.tile(x, (100, 1))):
+        s, n = state, 0
+        while not s.done:
+            s, n = fit.update(s, fit.partial(s, rows, np.zeros(len(rows)))), n + 1
+        counts.append(n)
+    assert counts[0] == counts[1] < gmm.MAX_ITER and max(once, often) < gmm.MAX_ITER
+
+
+@pytest.mark.parametrize("model", MODELS)
+@pytest.mark.parametrize("by", [None, "symbol"])
+def test_a_stored_model_scores_as_it_did(spark, tmp_path, model, by):
+    rows = prices(spark, 120)
+    fitted, scored = fit_and_score(rows, model, by=by)
+    fitted.write(f"{tmp_path}/m")
+    stored = read_model(spark, f"{tmp_path}/m")
+    again = score_with(rows, stored)
+    order = ["symbol", "Date"]
+    pd.testing.assert_frame_equal(
+        again.orderBy(*order).toPandas(), scored.orderBy(*order).toPandas(), rtol=1e-12
+    )
+    # A second file: one symbol, other prices; its scales and thresholds are still the stored ones.
+    other = rows.where("symbol = 'A'").withColumn("Close", F.col("Close") * 3).union(rows.where("symbol = 'B'").withColumn("symbol", F.lit("NEW")))
+    found = score_with(other, stored).toPandas()
+    assert set(found.symbol) == {"A"} and len(found) == 91
+    assert set(found.threshold) <= set(scored.toPandas().threshold)
+    if model in ("kmeans", "gmm"):
+        centres = stored.centres()
+        width = {len(r["columns"]) for r in stored.columns().collect()}
+        assert centres.count() == (10 if by else 5) and {len(r["centre"]) for r in centres.collect()} <= width
+    else:
+        with pytest.raises(ValueError):
+            stored.centres()
+
+
 def test_forest_is_the_same_for_any_partitioning_and_finds_outliers(spark):
     x = heavy_tails(2000, 5, 2)
     scores = []
     for parts in (2, 7):
         pts = points_frame(spark, {"a": x}, parts)
-        scores.append(iforest.score(pts, pts, None).orderBy("_pos").toPandas().distance.to_numpy())
+        scores.append(iforest.score(pts, iforest.fit(pts, None), None).orderBy("_pos").toPandas().distance.to_numpy())
     np.testing.assert_array_equal(scores[0], scores[1])
     assert (scores[0][:20] > np.quantile(scores[0], 0.95)).all()
 
@@ -148,11 +236,13 @@ def exact_svm(x, nu, gamma, steps=4000):
     return margin, np.median(margin[inner])
 
 
-def test_svm_agrees_with_the_exact_kernel_solution(spark):
+@pytest.mark.parametrize("rows_per_task", [None, 700])
+def test_svm_agrees_with_the_exact_kernel_solution(spark, rows_per_task):
     x = heavy_tails(2000, 7, 0)
     exact, rho = exact_svm(x, 0.05, 1 / 7)
     pts = points_frame(spark, {"a": x})
-    got = -ocsvm.score(pts, pts, None).orderBy("_pos").toPandas().distance.to_numpy()
+    params = ocsvm.fit(pts, None, rows_per_task=rows_per_task)
+    got = -ocsvm.score(pts, params, None).orderBy("_pos").toPandas().distance.to_numpy()
     assert np.corrcoef(pd.Series(exact).rank(), pd.Series(got).rank())[0, 1] >= 0.9
     outside = exact < rho * (1 - 1e-4)
     flagged = got < np.quantile(got, 0.05)
@@ -160,9 +250,20 @@ def test_svm_agrees_with_the_exact_kernel_solution(spark):
     assert flagged[:20].all()
 
 
-def test_sums_over_rows_match_numpy(spark):
-    groups = {"a": np.arange(30.0).reshape(10, 3), "b": np.ones((5, 2))}
-    pts = points_frame(spark, groups).select("symbol", "features")
-    got = sum_over_rows(pts, {"a": 2.0, "b": 3.0}, lambda x, p: p * x.sum(axis=0))
-    for name, factor in [("a", 2.0), ("b", 3.0)]:
-        np.testing.assert_allclose(got[name], factor * groups[name].sum(0))
+def test_svm_search_ends_near_its_least_loss_and_can_be_carried_on():
+    x = heavy_tails(800, 4, 3)
+    fit = ocsvm.SvmFit(count=64)
+    state, passes = fit.start(4), 0
+    while not state.done:
+        # The state goes through numbers alone, as between tasks.
+        state = fit.update(state._replace(values=np.array(state.values.tolist())), fit.partial(state, x, None))
+        passes += 1
+    gamma, width, mean, search = fit._read(state)
+    total = fit.partial(state, x, None)
+    assert passes < ocsvm.MAX_ITER
+    longer, least = state, search.value
+    for _ in range(60):
+        longer = fit.update(longer, fit.partial(longer, x, None))
+        least = min(least, fit._read(longer)[3].value)
+    assert search.value - least <= 1.5 * ocsvm._GAP * abs(least)
+    assert fit._dual(*total[[0, 2, 3]], total[4:], width, mean) <= least + 1e-12

@@ -74,6 +74,33 @@ def test_exact_quantile_with_and_without_narrowing(spark, limit):
     assert alone == pytest.approx(np.quantile(groups["a"], 0.05), abs=1e-12)
 
 
+def test_copies_in_one_group_do_not_stop_another(spark):
+    """Half the rows are copies that no bounds can split; the other groups are still narrowed and ranked by parts."""
+    rng = np.random.default_rng(9)
+    groups = {"copies": np.append(np.full(6000, 3.0), rng.normal(3, 1e-9, 40)), "wide": rng.normal(size=5000), "mixed": np.append(np.full(2500, 0.1), rng.normal(size=2500))}
+    df = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x], "symbol string, distance double").repartition(5)
+    for p in (0.05, 0.6, 1.0):
+        for limit in (30, 100):
+            got = {r["symbol"]: r["cut"] for r in sc.exact_quantile(df, p, ["symbol"], ranked_rows=limit).collect()}
+            assert got == pytest.approx({g: np.quantile(x, p) for g, x in groups.items()}, abs=1e-12)
+        whole = sc.exact_quantile(df, p, [], ranked_rows=100).first()["cut"]
+        assert whole == pytest.approx(np.quantile(np.concatenate(list(groups.values())), p), abs=1e-12)
+
+
+@pytest.mark.parametrize("by", [["symbol"], []])
+def test_no_task_ranks_more_than_its_share(spark, by, monkeypatch):
+    """Values too close together for the bounds to part them are ranked by range, a part a task."""
+    rng = np.random.default_rng(3)
+    values = rng.permutation(4000).astype(float)
+    df = spark.createDataFrame([("a", float(v)) for v in values], "symbol string, distance double").repartition(3)
+    monkeypatch.setattr(sc, "_STEPS", 1)  # bounds that never close in
+    seen = []
+    reach = sc._reach
+    monkeypatch.setattr(sc, "_reach", lambda rows, parts: seen.append(rows.groupBy(*parts).count().toPandas()["count"].max()) or reach(rows, parts))
+    assert sc.exact_quantile(df, 0.05, by, ranked_rows=500).first()["cut"] == pytest.approx(np.quantile(values, 0.05))
+    assert seen and max(seen) <= 500
+
+
 def test_contamination_flags_the_top_share(spark):
     df = spark.createDataFrame([("a", float(i)) for i in range(1000)], "symbol string, distance double")
     flagged = sc.flag(df, sc.contamination_cut(df, ["symbol"]), ["symbol"])
