@@ -132,7 +132,7 @@ def feature_space(featured: DataFrame, by: str | None, ddof: int = 1, cut: float
     the population deviation.  ``group_rows`` counts the rows of the model that the symbol belongs to.
     """
     own = materialize(moments(featured, [SYMBOL]), "moments")
-    corr = materialize(correlations(_centred(featured, own), [SYMBOL]), "correlations")
+    corr = correlations(_centred(featured, own), [SYMBOL])
     if by:
         kept = own.join(corr.select(SYMBOL, keep_mask(F.col("corr"), cut).alias("keep")), SYMBOL).withColumn("group_rows", F.col("n"))
     else:

@@ -54,16 +54,6 @@ def bars_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_bars(events, "event_type", F.date_trunc("hour", "ts"), "value", F.col("ts"))
 
 
-def still_prices(spark: SparkSession) -> DataFrame:
-    """6,000 made-up days of two series: one stands still for 5,000 days, the other moves always."""
-    n = F.col("id")
-    moving = 100 + (n * 7919 % 101) / 10
-    days = spark.range(6000).select("id", F.explode(F.array(F.lit("MOVES"), F.lit("RESTS"))).alias(SYMBOL))
-    close = F.when((F.col(SYMBOL) == "RESTS") & n.between(500, 5499), 100.0).otherwise(moving)
-    priced = days.select(SYMBOL, F.date_add(F.lit("2000-01-01").cast("date"), n.cast("int")).alias("Date"), close.alias("Close"), "id")
-    return priced.select(SYMBOL, "Date", "Close", *[F.col("Close").alias(c) for c in ("High", "Low", "Open")], n.alias("Volume"))
-
-
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line item as its own price row: three series that grow with the data."""
     price = F.col("l_extendedprice")
@@ -78,6 +68,16 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def still_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks whose price is cut at 1,050: it stands still for hundreds of rows, until one of the few lower ones."""
+    return ticks(spark, sf_dir).withColumn("Close", F.least("Close", F.lit(1050.0)))
+
+
+def holed_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks of which every seventh order has no price."""
+    return ticks(spark, sf_dir).withColumn("Close", F.when(F.col("Volume") % 7 != 0, F.col("Close")))
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as analysis runs in the shape of the history table."""
     return table(spark, sf_dir, "events").select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 from datetime import datetime
@@ -17,9 +18,11 @@ from barwatch.operators import stats
 from barwatch.operators.ewm import alpha_from, ewm_means, levels_for, with_blocks
 from barwatch.operators.features import add_rsi_and_macd, engineer_features, rolling_features
 from barwatch.operators.models import kmeans
+from barwatch.operators.models.gmm import MixtureFit
 from barwatch.operators.series import Series, lay_out
 from barwatch.plans import adaptors as tables
-from barwatch.plans.detect import detect_anomalies
+from barwatch.plans.detect import Model, detect_anomalies, read_model, score_features
+from barwatch.plans.run import run_from_csv
 from barwatch.schema import FEATURES, INDICATORS, OHLCV, SYMBOL
 from barwatch.session import join_parameters, materialize, scratch_dir
 from barwatch.sources import prices as px
@@ -34,12 +37,15 @@ FIXED_CENTRES = [
     [0.0, 2.0, 0.0, 1.0],
     [0.5, -1.0, 0.25, -1.0],
 ]
+# Weights of the fixed mixture, and the deviation of each component in every direction.
+FIXED_WEIGHTS = [0.4, 0.2, 0.15, 0.15, 0.1]
+FIXED_SPREADS = [1.0, 0.5, 0.75, 1.5, 2.0]
 AS_OF = datetime(2024, 1, 31)
 
 # Decimals kept where engines may differ in the last bits.
 PRICE_DIGITS = dict.fromkeys(
     ["Close", "High", "Low", "Open", "MA_7", "MA_30", "MACD", "MACD_Signal", "RSI_14", "change", "up", "down",
-     "ewm_12", "ewm_14", "anomaly_close"], 3,
+     "ewm_12", "ewm_14", "ewm_5000", "anomaly_close"], 3,
 )
 
 
@@ -278,6 +284,91 @@ def tick_features(spark: SparkSession, sf_dir: str, **layout) -> DataFrame:
     return rounded(featured.select(SYMBOL, "_pos", "Date", "Close", *INDICATORS).withColumnRenamed("_pos", "position"), 5)
 
 
+def rsi_flat_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = add_rsi_and_macd(rolling_features(lay_out(tables.still_ticks(spark, sf_dir)))).result()
+    return rounded(rows.select(SYMBOL, F.col("_pos").alias("position"), "RSI_14"))
+
+
+def ewm_slow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mean over 5,000 rows of series with holes, cut into chunks."""
+    series = lay_out(tables.holed_ticks(spark, sf_dir), series_rows=4096, chunk_rows=8192)
+    alpha = alpha_from(span=5000)
+    rows = ewm_means(with_blocks(series, levels_for([alpha])), {"ewm_5000": ("Close", alpha)}).result()
+    return rounded(rows.select(SYMBOL, F.col("_pos").alias("position"), "ewm_5000"))
+
+
+def model_rows(spark: SparkSession, sf_dir: str, by: str | None) -> DataFrame:
+    """What a model reads, an entry a row."""
+    rows = stats.model_input(materialize(_featured(spark, sf_dir), "featured"), by)
+    return rounded(rows.select(SYMBOL, "Date", "group_rows", F.posexplode("features").alias("place", "x")), 5)
+
+
+def price_store_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of dates of one symbol from a price store."""
+    folder = f"{scratch_dir(spark)}/prices-{uuid.uuid4().hex}"
+    px.store_prices(_bars(spark, sf_dir), folder, 10_000)
+    return rounded(px.price_history(px.stored_prices(spark, folder), "1-urgent", "1996-01-01", "1998-01-01"))
+
+
+def csv_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One call from price files to everything it leaves: what can be counted of it."""
+    folder = f"{scratch_dir(spark)}/run-{uuid.uuid4().hex}"
+    px.export_prices(_bars(spark, sf_dir), f"{folder}/prices", by_symbol=True)
+    done = run_from_csv(spark, f"{folder}/prices", f"{folder}/results", f"{folder}/history", "8", at=AS_OF)
+    history_rows = results.read_history(spark, f"{folder}/history").select(
+        "user_id", "run_timestamp", "stock_symbol", "model_used", "summary.rows_processed", F.col("summary.anomalies_found").alias("found")
+    )
+    counts = done.summary.select("rows", "anomalies")
+    json_rows = done.records.agg(F.count(F.lit(1)).alias("json_rows"))
+    centres = done.model.centres().agg(F.count(F.lit(1)).alias("centres"))
+    joined = history_rows.join(counts).join(json_rows).join(centres)  # one row each
+    return joined.select(
+        "user_id", "run_timestamp", "stock_symbol", "model_used", "rows_processed", "json_rows", "centres",
+        (F.col("found") == F.col("anomalies")).alias("counts_agree"), (F.col("rows") == F.col("rows_processed")).alias("rows_agree"),
+    )
+
+
+def _stored_model(spark: SparkSession, featured: DataFrame, model: str, params: DataFrame, threshold: float) -> DataFrame:
+    """The rows from 1997 on, scored under a model stored with the scales of those before."""
+    year = F.year("Date")
+    flags = F.array(*[F.lit(c in FIXED_SPACE) for c in FEATURES])
+    space = stats.feature_space(featured.where(year < 1997), SYMBOL).withColumn("keep", flags)
+    folder = f"{scratch_dir(spark)}/model-{uuid.uuid4().hex}"
+    Model(model, None, space, params, spark.createDataFrame([(threshold,)], "threshold double")).write(folder)
+    scored = score_features(featured.where(year >= 1997), read_model(spark, folder))
+    return rounded(scored.select(SYMBOL, "Date", "cluster", "distance", "threshold", "is_anomaly"), 5)
+
+
+def stored_kmeans_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    featured = materialize(_featured(spark, sf_dir), "featured")
+    params = spark.createDataFrame([(FIXED_CENTRES,)], "centres array<array<double>>")
+    return _stored_model(spark, featured, "kmeans", params, 2.5)
+
+
+def _mixture_row() -> tuple[list[float], ...]:
+    d, narrow = len(FIXED_SPACE), [[float(i == j) for j in range(len(FIXED_SPACE))] for i in range(len(FIXED_SPACE))]
+    whiten = [x / s for s in FIXED_SPREADS for row in narrow for x in row]
+    logs = [math.log(w) - d * math.log(s) - 0.5 * d * math.log(2 * math.pi) for w, s in zip(FIXED_WEIGHTS, FIXED_SPREADS)]
+    return FIXED_WEIGHTS, [x for c in FIXED_CENTRES for x in c], whiten, logs
+
+
+def stored_mixture_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    featured = materialize(_featured(spark, sf_dir), "featured").withColumn("_pos", F.monotonically_increasing_id())
+    return _stored_model(spark, featured, "gmm", spark.createDataFrame([_mixture_row()], MixtureFit.fields), 0.5)
+
+
+def stored_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and number of the rows of each cluster, from the centres of a model stored by symbol."""
+    assigned = _assigned(spark, sf_dir).groupBy(SYMBOL, "cluster").agg(*[F.avg(F.col("features")[i]).alias(f"m{i}") for i in range(len(FIXED_SPACE))])
+    centre = F.array(*[f"m{i}" for i in range(len(FIXED_SPACE))])
+    params = assigned.groupBy(SYMBOL).agg(F.transform(F.array_sort(F.collect_list(F.struct("cluster", centre.alias("c")))), lambda x: x["c"]).alias("centres"))
+    folder = f"{scratch_dir(spark)}/model-{uuid.uuid4().hex}"
+    params = materialize(params, "centres")
+    Model("kmeans", SYMBOL, params.select(SYMBOL), params, params.select(SYMBOL)).write(folder)
+    centres = read_model(spark, folder).centres().select(SYMBOL, "cluster", F.posexplode("centre").alias("place", "x"))
+    return rounded(centres, 5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "volatile_days": volatile_days,
@@ -290,6 +381,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "drop_incomplete": drop_incomplete,
         "preview": preview,
         "price_history": lambda s, d: rounded(px.price_history(_bars(s, d), "1-urgent", "1996-01-01", "1998-01-01")),
+        "price_store_range": price_store_range,
+        "run_from_csv": csv_run,
         "result_sink_roundtrip": result_sink_roundtrip,
         "result_json": result_json,
         "history_record": history_record,
@@ -307,9 +400,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ewm_span": lambda s, d: _smoothed(s, d, "ewm_12", alpha_from(span=12)),
         "ewm_com": lambda s, d: _smoothed(s, d, "ewm_14", alpha_from(com=13), "up"),
         "rsi_14": lambda s, d: _indicator(s, d, "RSI_14"),
-        "rsi_flat_runs": lambda s, d: _keyed(
-            add_rsi_and_macd(rolling_features(lay_out(tables.still_prices(s), bounded=True, gapless=True))).result(), "RSI_14"
-        ),
+        "rsi_flat_runs": rsi_flat_runs,
+        "ewm_slow": ewm_slow,
         "macd": lambda s, d: _indicator(s, d, "MACD"),
         "macd_signal": lambda s, d: _indicator(s, d, "MACD_Signal"),
         "warmup_trim": lambda s, d: _featured(s, d).groupBy(SYMBOL).agg(
@@ -330,12 +422,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "select_features": select_features,
         "assemble": assemble,
+        "model_input": lambda s, d: model_rows(s, d, SYMBOL),
+        "model_input_pooled": lambda s, d: model_rows(s, d, None),
         "standardize": lambda s, d: standardize(s, d, 1),
         "standardize_pop": lambda s, d: standardize(s, d, 0),
         # scores
         "kmeans_assign_fixed": lambda s, d: _keyed(_assigned(s, d), "cluster"),
         "distance_to_center": lambda s, d: _keyed(_assigned(s, d), "cluster", "distance"),
         "embedding_distances": embedding_distances,
+        "stored_kmeans_scores": stored_kmeans_scores,
+        "stored_mixture_scores": stored_mixture_scores,
+        "stored_centres": stored_centres,
         "gmm_max_posterior": lambda s, d: _keyed(_posteriors(s, d), "max_prob"),
         "gmm_score": lambda s, d: _keyed(_posteriors(s, d).withColumn("score", sc.ambiguity(F.col("max_prob"))), "score"),
         "score_stats": lambda s, d: rounded(sc.score_stats(_assigned(s, d), [SYMBOL])),

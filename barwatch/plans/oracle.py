@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from barwatch.plans.catalog import FIXED_CENTRES, FIXED_SPACE, PRICE_DIGITS
+from barwatch.plans.catalog import FIXED_CENTRES, FIXED_SPACE, FIXED_SPREADS, FIXED_WEIGHTS, PRICE_DIGITS
 from barwatch.schema import FEATURES, INDICATORS, OHLCV
 
 _PRICE_COLUMNS = '"Close", "High", "Low", "Open", "Volume"'
@@ -38,11 +38,20 @@ TICKS = """bars AS MATERIALIZED (
          l_extendedprice / l_quantity AS "Open", l_orderkey AS "Volume"
   FROM lineitem)"""
 
-STILL = """bars AS MATERIALIZED (
-  SELECT symbol, (DATE '2000-01-01' + i::INTEGER) AS "Date", c AS "Close", c AS "High", c AS "Low", c AS "Open", i AS "Volume"
-  FROM (SELECT symbol, i, CASE WHEN symbol = 'RESTS' AND i BETWEEN 500 AND 5499 THEN 100.0::DOUBLE
-                               ELSE 100 + (i * 7919 % 101)::DOUBLE / 10 END AS c
-        FROM range(6000) r(i), (VALUES ('MOVES'), ('RESTS')) s(symbol)))"""
+STILL = TICKS.replace('l_extendedprice AS "Close"', 'least(l_extendedprice, 1050.0::DOUBLE) AS "Close"')
+
+# The recursion over the rows that have a price; a share of 2 / 5001 a row.
+_SLOW = """ordered AS MATERIALIZED (
+  SELECT symbol, x, row_number() OVER (PARTITION BY symbol ORDER BY "Date", x NULLS FIRST, "High", "Low", "Open", "Volume") AS rn
+  FROM (SELECT *, CASE WHEN "Volume" % 7 <> 0 THEN "Close" END AS x FROM bars)),
+seen AS MATERIALIZED (
+  SELECT symbol, rn, x, row_number() OVER w AS i, pow(1 - 2 / 5001.0::DOUBLE, rn - lag(rn) OVER w) AS kept
+  FROM ordered WHERE x IS NOT NULL WINDOW w AS (PARTITION BY symbol ORDER BY rn)),
+slow AS (
+  SELECT symbol, rn, i, x AS y FROM seen WHERE i = 1
+  UNION ALL
+  SELECT n.symbol, n.rn, n.i, (n.kept * s.y + 2 / 5001.0::DOUBLE * n.x) / (n.kept + 2 / 5001.0::DOUBLE)
+  FROM slow s JOIN seen n ON n.symbol = s.symbol AND n.i = s.i + 1)"""
 
 # Rows in order, changes, and the four smoothed means in one recursion.
 _FEATURES = """ordered AS MATERIALIZED (
@@ -191,6 +200,42 @@ posterior AS (
             / ({" + ".join(f"w{i}" for i in range(len(FIXED_CENTRES)))}) AS max_prob FROM weighed)"""
 
 
+# What models read: scales of each symbol, and the columns that no earlier one is collinear with.
+_ENTRIES = "entries AS MATERIALIZED (" + " UNION ALL ".join(
+    f'SELECT symbol, "Date", {i} AS j, {_z(c)} AS x FROM featured' for i, c in enumerate(FEATURES)
+) + ")"
+_PLACES = f"(VALUES {', '.join(f'({i})' for i in range(len(FEATURES)))}) f(j)"
+_KEPT = f"""pairs AS MATERIALIZED ({_pair_rows()}),
+kept AS (
+  SELECT s.symbol, f.j, row_number() OVER (PARTITION BY s.symbol ORDER BY f.j)::INTEGER - 1 AS place, s.group_rows
+  FROM (SELECT symbol, count(*)::BIGINT AS group_rows FROM featured GROUP BY symbol) s CROSS JOIN {_PLACES}
+  WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.symbol = s.symbol AND p.j = f.j AND abs(p.corr) >= 0.95))"""
+_KEPT_POOLED = f"""pairs AS MATERIALIZED ({_pair_rows()}),
+sizes AS (SELECT symbol, count(*)::BIGINT AS n FROM featured GROUP BY symbol),
+pooled AS (SELECT j, sum(corr * (n - 1)) / sum(n - 1) AS r FROM pairs JOIN sizes USING (symbol) WHERE corr IS NOT NULL GROUP BY i, j),
+kept AS (
+  SELECT s.symbol, f.j, row_number() OVER (PARTITION BY s.symbol ORDER BY f.j)::INTEGER - 1 AS place, (SELECT sum(n)::BIGINT FROM sizes) AS group_rows
+  FROM sizes s CROSS JOIN {_PLACES} WHERE NOT EXISTS (SELECT 1 FROM pooled p WHERE p.j = f.j AND abs(p.r) >= 0.95))"""
+_MODEL_ROWS = 'SELECT symbol, "Date", group_rows, place, round(x, 5) + 0.0 AS x FROM entries JOIN kept USING (symbol, j)'
+
+# Rows from 1997 on in the scales of those before.
+_STORED_SPACE = "space AS MATERIALIZED (SELECT f.*, " + ", ".join(
+    f'coalesce((f."{c}" - m{i}) / nullif(s{i}, 0), 0.0) AS z{i}' for i, c in enumerate(FIXED_SPACE)
+) + " FROM featured f JOIN (SELECT symbol, " + ", ".join(
+    f'avg("{c}") AS m{i}, stddev_samp("{c}") AS s{i}' for i, c in enumerate(FIXED_SPACE)
+) + """ FROM featured WHERE year("Date") < 1997 GROUP BY symbol) USING (symbol) WHERE year("Date") >= 1997)"""
+_REACH = ", ".join(f"sqrt({_squares(c)})" for c in FIXED_CENTRES)
+_SHARES = ", ".join(
+    f"{w}::DOUBLE * pow({s}::DOUBLE, -{len(FIXED_SPACE)}) * exp(-0.5::DOUBLE * ({_squares(c)}) / ({s * s}::DOUBLE))"
+    for w, s, c in zip(FIXED_WEIGHTS, FIXED_SPREADS, FIXED_CENTRES)
+)
+
+
+def _stored(score: str, threshold: float) -> str:
+    return _with(BARS, _FEATURES, _STORED_SPACE) + f"""SELECT symbol, "Date", cluster, round(distance, 5) + 0.0 AS distance,
+    {threshold}::DOUBLE AS threshold, (distance > {threshold}::DOUBLE)::INTEGER AS is_anomaly FROM ({score})"""
+
+
 def _standardised(deviation: str) -> str:
     columns = ", ".join(_r(c, source=_z(c, deviation)) for c in INDICATORS)
     return _over_features(f'SELECT symbol, "Date", {columns}, 0.0::DOUBLE AS "Constant" FROM featured')
@@ -223,7 +268,29 @@ def oracle_sql() -> dict[str, str]:
         ),
         "ohlcv_csv_scan": _plain(f'SELECT symbol, "Date", {", ".join(_r(c) for c in OHLCV[1:5])}, "Volume" FROM bars'),
         "ohlcv_csv_intraday": _with(BARS_HOURLY) + f'SELECT symbol, "Date", {", ".join(_r(c) for c in OHLCV[1:5])}, "Volume" FROM bars',
-        "rsi_flat_runs": _over_features(f'SELECT symbol, "Date", {_r("RSI_14")} FROM indicated', STILL),
+        "rsi_flat_runs": _over_features(f'SELECT symbol, rn - 1 AS position, {_r("RSI_14")} FROM indicated', STILL),
+        "ewm_slow": _with(TICKS, _SLOW) + f"""SELECT symbol, rn - 1 AS position, {_r("ewm_5000", source='last_value(y IGNORE NULLS) OVER w')}
+        FROM ordered LEFT JOIN slow USING (symbol, rn)
+        WINDOW w AS (PARTITION BY symbol ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+        "model_input": _with(BARS, _FEATURES, _ENTRIES, _KEPT) + _MODEL_ROWS,
+        "model_input_pooled": _with(BARS, _FEATURES, _ENTRIES, _KEPT_POOLED) + _MODEL_ROWS,
+        "stored_kmeans_scores": _stored(
+            f"SELECT *, list_min(d) AS distance, list_position(d, list_min(d))::INTEGER - 1 AS cluster FROM (SELECT *, [{_REACH}] AS d FROM space)", 2.5
+        ),
+        "stored_mixture_scores": _stored(
+            f"""SELECT *, -ln(list_max(w) / list_sum(w) + 1e-9::DOUBLE) AS distance, list_position(w, list_max(w))::INTEGER - 1 AS cluster
+            FROM (SELECT *, [{_SHARES}] AS w FROM space)""", 0.5
+        ),
+        "stored_centres": _over_scored(
+            "SELECT symbol, row_number() OVER (PARTITION BY symbol, place ORDER BY c)::INTEGER - 1 AS cluster, place, round(x, 5) + 0.0 AS x FROM ("
+            + " UNION ALL ".join(f"SELECT symbol, cluster AS c, {i} AS place, avg(z{i}) AS x FROM assigned GROUP BY 1, 2" for i in range(len(FIXED_SPACE)))
+            + ")"
+        ),
+        "run_from_csv": _over_features(
+            """SELECT '8' AS user_id, TIMESTAMP '2024-01-31 00:00:00' AS run_timestamp, 'UNKNOWN' AS stock_symbol, 'kmeans' AS model_used,
+            count(*)::BIGINT AS rows_processed, count(*)::BIGINT AS json_rows, 5::BIGINT AS centres, true AS counts_agree, true AS rows_agree
+            FROM featured"""
+        ),
         "normalize_columns": _plain(
             """SELECT symbol AS "Symbol", "Date", "Close", "High", "Low" AS "Adj low", "Volume" AS "Ma_7" FROM bars"""
         ),
@@ -239,6 +306,10 @@ def oracle_sql() -> dict[str, str]:
             f"""SELECT "Date", {", ".join(_r(c) for c in OHLCV[1:5])}, "Volume" FROM bars
             WHERE symbol = '1-URGENT' AND "Date" >= DATE '1996-01-01' AND "Date" < DATE '1998-01-01'"""
         ),
+        "price_store_range": _plain(
+            f"""SELECT "Date", {", ".join(_r(c) for c in OHLCV[1:5])}, "Volume" FROM bars
+            WHERE symbol = '1-URGENT' AND "Date" >= DATE '1996-01-01' AND "Date" < DATE '1998-01-01'"""
+        ),
         "result_sink_roundtrip": _over_scored(
             """SELECT symbol, "Date", round(distance, 5) + 0.0 AS distance, is_anomaly, 'kmeans' AS model_used,
             4 AS width, round(z2, 5) + 0.0 AS z_rsi FROM scored"""

@@ -151,6 +151,26 @@ def price_history(prices: DataFrame, symbol: str, start: str, end: str) -> DataF
     return prices.where((F.col(SYMBOL) == parse_symbol(symbol)) & in_range).select(*OHLCV)
 
 
+def store_prices(prices: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
+    """Prices laid out for :func:`price_history`: a folder per symbol, and in it files that each hold a span of dates.
+
+    Rows are sorted by range of symbol and date over as many tasks as they
+    ask for, so a hot symbol fills many files and each file, as each of its row
+    groups, has narrow bounds for the date; a range read opens the
+    symbol's folder and skips the others' dates.
+    """
+    written = prices.select(SYMBOL, *[F.col(f.name) if f.name == "Date" else F.col(f.name).cast(f.dataType) for f in PRICE_SCHEMA])
+    tasks = max(1, -(-prices.count() // rows_per_file))
+    by_range = written.repartitionByRange(tasks, SYMBOL, "Date", *_PRICES, "Volume").sortWithinPartitions(SYMBOL, "Date")
+    by_range.write.partitionBy(SYMBOL).option("maxRecordsPerFile", rows_per_file).parquet(path)
+
+
+def stored_prices(spark: SparkSession, path: str) -> DataFrame:
+    """The table that :func:`store_prices` wrote; symbols stay text."""
+    schema = T.StructType([*PRICE_SCHEMA, T.StructField(SYMBOL, T.StringType())])
+    return spark.read.schema(schema).parquet(path).select(SYMBOL, *OHLCV)
+
+
 def price_file_name(symbol: str, start: str, end: str) -> str:
     return f"{parse_symbol(symbol)}_{start}_to_{end}.csv"
 

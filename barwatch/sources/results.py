@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import logging
+import uuid
 from datetime import datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,14 +82,43 @@ def history_record(
 
 
 def append_history(record: DataFrame, path: str) -> bool:
-    """Append to the history; a failure is logged and does not stop the run."""
+    """Append a run's row to the history; a failure is logged and does not stop the run.
+
+    The row is written to a staged folder, which readers do not see, and that
+    folder renamed to one named by the run.  The rename does not overwrite, so a retried or
+    concurrent append of one run leaves one row, and an append that dies in between leaves none.
+    """
+    spark = record.sparkSession
     try:
-        record.select(*HISTORY_SCHEMA.names).to(HISTORY_SCHEMA).write.mode("append").parquet(path)
+        staged = f"{path.rstrip('/')}/_staged-{uuid.uuid4().hex}"
+        record.select(*HISTORY_SCHEMA.names).to(HISTORY_SCHEMA).write.parquet(staged)
+        runs = [row["run_id"] for row in spark.read.parquet(staged).select("run_id").limit(2).collect()]
+        if len(runs) != 1 or runs[0] is None:
+            raise ValueError("a history record is one row with a run_id")
+        _rename(spark, staged, f"{path.rstrip('/')}/run-{hashlib.sha256(runs[0].encode()).hexdigest()[:32]}")
         return True
     except Exception:
         log.exception("no history row was written to %s", path)
         return False
 
 
+def _rename(spark: SparkSession, staged: str, committed: str) -> None:
+    """Make a staged folder visible in one step; where the committed one is there already, it stays and the staged one goes."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    source, target = fs.Path(staged), fs.Path(committed)
+    conf = spark._jsc.hadoopConfiguration()
+    files = fs.FileContext.getFileContext(source.getFileSystem(conf).makeQualified(source).toUri(), conf)
+    try:
+        files.rename(source, target, spark.sparkContext._gateway.new_array(fs.Options.Rename, 0))
+    except Py4JJavaError:
+        if not files.util().exists(target):
+            raise
+        files.delete(source, True)
+
+
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(HISTORY_SCHEMA).parquet(path)
+    """One row a run; of several rows with one ``run_id`` the earliest, rows without one as they are."""
+    rows = spark.read.schema(HISTORY_SCHEMA).option("recursiveFileLookup", True).parquet(path)
+    ordered = ["run_timestamp", *[c for c in HISTORY_SCHEMA.names if c not in ("run_id", "run_timestamp")]]
+    once = rows.where("run_id is not null").groupBy("run_id").agg(F.min(F.struct(*ordered)).alias("r")).select("run_id", "r.*")
+    return once.select(*HISTORY_SCHEMA.names).union(rows.where("run_id is null")).to(HISTORY_SCHEMA)

@@ -178,14 +178,28 @@ def test_blocks_forget_enough_and_fit_a_double():
             assert slowest_decay(alpha) * rows >= 44
 
 
-def test_very_slow_decay_needs_a_series_without_nulls(spark):
-    closes = walk(3000, 30)
-    series = lay_out(make_prices(spark, {"x": closes}), bounded=True)
-    with pytest.raises(ValueError):
-        ewm_means(with_blocks(series, levels_for([0.01])), {"y": ("Close", 0.01)})
-    whole = lay_out(make_prices(spark, {"x": closes}), bounded=True, gapless=True)
-    got = ewm_means(with_blocks(whole, levels_for([0.01])), {"y": ("Close", 0.01)}).result().orderBy("_pos").toPandas()["y"]
-    np.testing.assert_allclose(got, pd.Series(closes).ewm(alpha=0.01, adjust=False).mean(), rtol=1e-10)
+@pytest.mark.parametrize("layout", [{"bounded": True}, {"series_rows": 100, "chunk_rows": 4096}])
+@pytest.mark.parametrize("alpha", [alpha_from(span=5000), 0.01])
+def test_any_decay_over_gaps_equals_pandas(spark, layout, alpha):
+    series = {
+        "plain": walk(9000, 30), "gaps": walk(9000, 31, 0.3), "late": [None] * 5000 + walk(4000, 32, 0.05), "short": walk(3, 33),
+        "hole": walk(4000, 34) + [None] * 9000 + walk(1500, 35, 0.5), "none": [None] * 50, "rare": walk(9000, 36, 0.999),
+    }
+    laid = lay_out(make_prices(spark, series, shuffle=False), **layout)
+    got = ewm_means(with_blocks(laid, levels_for([alpha, 0.2])), {"y": ("Close", alpha), "fast": ("Close", 0.2)}).result().toPandas()
+    for symbol, closes in series.items():
+        mine = got[got.symbol == symbol].sort_values("_pos")
+        prices = pd.Series([np.nan if c is None else c for c in closes], dtype=float)
+        np.testing.assert_allclose(mine.y, prices.ewm(alpha=alpha, adjust=False).mean(), rtol=1e-10)
+        assert list(mine._pos) == list(range(len(closes)))
+
+
+def test_slow_decay_of_a_gapless_series(spark):
+    closes = walk(9000, 30)
+    for layout in ({"bounded": True, "gapless": True}, {"series_rows": 100, "chunk_rows": 4096}):
+        whole = lay_out(make_prices(spark, {"x": closes}), **layout)
+        got = ewm_means(with_blocks(whole, levels_for([0.001])), {"y": ("Close", 0.001)}).result().orderBy("_pos").toPandas()["y"]
+        np.testing.assert_allclose(got, pd.Series(closes).ewm(alpha=0.001, adjust=False).mean(), rtol=1e-10)
 
 
 def test_rsi_small_cases(spark):

@@ -5,7 +5,9 @@ import json
 
 import numpy as np
 
+from barwatch.plans.detect import score_with
 from barwatch.plans.run import run_from_csv
+from barwatch.sources.prices import scan_prices
 from barwatch.sources.results import read_history
 
 
@@ -23,3 +25,6 @@ def test_one_call_stores_records_and_reports(spark, tmp_path):
     row = read_history(spark, str(tmp_path / "history")).first()
     assert row["run_id"] == run.run_id and row["stock_symbol"] == "AB.C" and row["summary"]["rows_processed"] == 91
     assert {r["symbol"] for r in run.scored.select("symbol").distinct().collect()} == {"AB.C"} and run.repeated.count() == 0
+    assert run.model.centres().count() == 5 and run.model.thresholds.first()["threshold"] == run.scored.first()["threshold"]
+    again = score_with(scan_prices(spark, str(tmp_path / "ab.c.csv"), "ab.c"), run.model)
+    assert sorted(r["distance"] for r in again.collect()) == sorted(r["distance"] for r in run.scored.collect())

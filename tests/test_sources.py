@@ -1,6 +1,7 @@
 """Files, checks, sinks."""
 
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 import os
 
 import pytest
@@ -169,7 +170,7 @@ def test_history_append_and_failure(spark, tmp_path):
     path = str(tmp_path / "h")
     assert results.append_history(record, path) and results.append_history(record, path)
     got = results.read_history(spark, path)
-    assert got.schema == HISTORY_SCHEMA and got.count() == 2
+    assert got.schema == HISTORY_SCHEMA and got.count() == 1
     row = got.first()
     assert row["summary"]["rows_processed"] == 3 and row["summary"]["anomalies_found"] == 1
     assert row["results_filename"] == "20240102_030405_svm_results.csv"
@@ -177,6 +178,60 @@ def test_history_append_and_failure(spark, tmp_path):
     assert results.append_history(scored, path) is False
 
 
+def history_row(spark, run_id, hour=3):
+    scored = spark.createDataFrame([(1,), (0,)], "is_anomaly int")
+    return results.history_record(scored, run_id, "u", dt.datetime(2024, 1, 2, hour), "p.csv", "AA", "svm", 2.5, f"{run_id}.csv")
+
+
+def test_history_keeps_one_row_a_run(spark, tmp_path):
+    path = str(tmp_path / "h")
+    with ThreadPoolExecutor(4) as pool:
+        assert all(pool.map(lambda run: results.append_history(history_row(spark, run), path), ["a", "a", "b/?*", "a"]))
+    assert results.append_history(history_row(spark, "a", 5), path)
+    got = results.read_history(spark, path).collect()
+    assert sorted(r["run_id"] for r in got) == ["a", "b/?*"] and {r["run_timestamp"].hour for r in got} == {3}
+    assert not [f for f in (tmp_path / "h").iterdir() if f.name.startswith("_staged")]
+    # Rows of another writer, without a rename: one a run, the earliest; rows that name no run stay.
+    history_row(spark, "a", 1).union(history_row(spark, "c")).union(history_row(spark, None)).union(history_row(spark, None)).write.parquet(f"{path}/more")
+    got = results.read_history(spark, path).collect()
+    assert sorted((r["run_id"] or "-", r["run_timestamp"].hour) for r in got) == [("-", 3), ("-", 3), ("a", 1), ("b/?*", 3), ("c", 3)]
+
+
+def test_history_append_that_dies_before_its_commit(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "h")
+    assert results.append_history(history_row(spark, "a"), path)
+
+    def die(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(results, "_rename", die)
+        assert results.append_history(history_row(spark, "b"), path) is False
+    assert [r["run_id"] for r in results.read_history(spark, path).collect()] == ["a"]
+    assert results.append_history(history_row(spark, "b"), path)
+    assert sorted(r["run_id"] for r in results.read_history(spark, path).collect()) == ["a", "b"]
+    assert results.append_history(history_row(spark, None), path) is False
+
+
+def test_price_store_skips_folders_and_dates(spark, tmp_path):
+    day = dt.date(2000, 1, 1)
+    rows = [(s, day + dt.timedelta(i), float(i), 1.0, 1.0, 2.0, i) for i in range(3000) for s in ("HOT", "007")][: 3000 + 500]
+    rows += [("HOT", day + dt.timedelta(i), float(i), 1.0, 1.0, 2.0, i) for i in range(3000, 9000)]
+    table = spark.createDataFrame(rows, "symbol string, Date date, Close double, High double, Low double, Open double, Volume bigint").repartition(5)
+    path = str(tmp_path / "store")
+    px.store_prices(table, path, 1000)
+    stored = px.stored_prices(spark, path)
+    assert sorted(stored.collect()) == sorted(table.collect())
+    assert len(list((tmp_path / "store" / "symbol=HOT").glob("*.parquet"))) >= 6
+    part = px.price_history(stored, "hot", "2010-01-01", "2010-02-01")
+    text = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(symbol" in text and "GreaterThanOrEqual(Date,2010-01-01)" in text
+    assert part.count() == 31 and px.price_history(stored, "007", "2000-01-01", "2000-01-03").count() == 2
+    # Files hold spans of dates, so that only one or two can have the month.
+    spans = stored.where("symbol = 'HOT'").groupBy(F.input_file_name()).agg(F.min("Date").alias("a"), F.max("Date").alias("b")).collect()
+    assert sum(r["a"] < dt.date(2010, 2, 1) and r["b"] >= dt.date(2010, 1, 1) for r in spans) <= 2
+
+
 def test_assemble_refuses_holes(spark):
     rows = spark.createDataFrame([(1.0, None)], "a double, b double")
     with pytest.raises(Exception, match="null or NaN"):
