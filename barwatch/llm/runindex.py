@@ -31,15 +31,16 @@ class RunIndex:
 
     def __init__(self, text: np.ndarray, most: int) -> None:
         keys, many = packed(text, 8)
-        order, rank = suffix_order(text, 8)
+        order, rank = suffix_order(text, 8, (keys, many))
         self.size = len(text)
         before = np.where(order > 0, text[order - 1].astype(np.int64), -1)
         change = before[1:] != before[:-1]
-        self.letters = before[np.append(True, change)]
         self.samples = []
         for run_end, step in ((np.append(True, change), -1), (np.append(change, True), 1)):
             # The position before a run's end starts a new descent; so does the last one.
-            at = np.unique(np.append(order[run_end & (order > 0)] - 1, len(text) - 1))
+            sampled = np.zeros(len(text), bool)
+            sampled[order[run_end & (order > 0)] - 1] = sampled[-1] = True
+            at = np.flatnonzero(sampled)
             other = rank[at] + step
             there = (other >= 0) & (other < len(text))
             shared = np.zeros(len(at), np.int64)

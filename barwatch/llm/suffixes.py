@@ -19,13 +19,14 @@ def _heads(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
 
 
-def suffix_order(codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def suffix_order(codes: np.ndarray, bits: int, first: tuple[np.ndarray, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in order and each position's place in it.
 
     Ranks by the first codes are doubled in reach, only where suffixes are
     still tied.  The last code must be the largest one and below 2^bits.
+    ``first`` is what ``packed`` gave, where it is known.
     """
-    keys, reach = packed(codes, bits)
+    keys, reach = first or packed(codes, bits)
     order = np.argsort(keys)
     heads = _heads(keys[order])
     sizes = np.diff(np.append(heads, len(codes)))
