@@ -100,7 +100,7 @@ def counted_features(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[p
             ids.append(each.astype(np.int32))
             shares.append((n / max(n.sum(), 1)).astype(np.float32))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("quality"), pa.array(ids, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], ["quality", "ids", "shares"]
+            [batch.column("key"), pa.array(ids, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], ["key", "ids", "shares"]
         )
 
 
@@ -151,15 +151,22 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     The sample's distinct features, a few thousand numbers a document, come to
     the driver; their count is bounded by ``settings.sample`` documents of at
     most 2^bits features.  Rows without id or with a label other than 0 and 1
-    are left out; a document with two labels is learned with both.
+    are left out; a document with two labels is learned with both.  Equal rows
+    count once, of labels as of documents; rows of one id with other texts are documents
+    of their own, and of all of them the first ``settings.sample`` by hash are learned.
     """
     ship_package(docs.sparkSession)
     usable = labels.filter(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
-    picked = usable.select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(settings.sample)
-    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text")
-    bits = settings.bits
-    found = texts.mapInArrow(lambda batches: counted_features(batches, bits), "quality int, ids array<int>, shares array<float>").toArrow()
-    found = found.combine_chunks()
+    picked = usable.select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
+    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(settings.sample)
+    labelled = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picked), "doc_id")
+    place = ["h", "doc_id", "quality", "text_key"]
+    labelled = labelled.withColumns({"h": F.xxhash64("doc_id"), "text_key": F.xxhash64("text")}).dropDuplicates(place)
+    texts = labelled.select(F.struct(*place).alias("key"), "text")
+    bits, key = settings.bits, texts.schema["key"].dataType.simpleString()
+    found = texts.mapInArrow(lambda batches: counted_features(batches, bits), f"key {key}, ids array<int>, shares array<float>")
+    first = found.orderBy(*[f"key.{c}" for c in place]).limit(settings.sample)
+    found = first.select("key.quality", "ids", "shares").toArrow().combine_chunks()
     ids = [np.asarray(x.values) for x in found.column("ids")] if found.num_rows else []
     shares = [np.asarray(x.values) for x in found.column("shares")] if found.num_rows else []
     # The rows arrive in any order; training should not depend on it.
