@@ -58,8 +58,9 @@ def systematic_copies(docs: DataFrame, seed: str = "mix") -> DataFrame:
     taken differ from the target by less than the source's longest document.
 
     A document's place in that order is the number of documents in earlier
-    (size, salt) cells, plus its place in its own cell.  The salt is a
-    remainder of the id, so the many copies of one text are numbered in up to
+    (size, salt) cells, plus its place in its own cell, by id and then by hash of
+    the text.  The salt is a remainder of the id (of its hash, where it is no
+    number), so the many copies of one text are numbered in up to
     64 tasks.  Texts move once; cells are sums.
 
     Null sources are one source, the last; a null text has size 0 (it is
@@ -68,12 +69,14 @@ def systematic_copies(docs: DataFrame, seed: str = "mix") -> DataFrame:
     replaced.
     """
     added = ("size", "source_size", "target", "copies")
-    salt = F.pmod(F.coalesce(F.col("id").cast("long"), F.lit(0)), F.lit(SALTS)).cast("int")
+    hashed = F.when(F.col("id").isNotNull(), F.xxhash64("id")).otherwise(F.lit(0))
+    salt = F.pmod(F.coalesce(F.col("id").try_cast("long"), hashed), F.lit(SALTS)).cast("int")
     keyed = docs.select(
         F.struct(*[c for c in docs.columns if c.lower() not in added]).alias("row"),
         F.col("doc_id").alias("id"),
         F.col("source").cast("string").alias("source"),
         F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"),
+        F.xxhash64(text_of()).alias("tie"),
     ).withColumn("salt", salt).withColumn("name", F.concat(F.when(F.col("source").isNull(), "-").otherwise("+"), F.coalesce("source", F.lit(""))))
     counts = materialize(keyed.groupBy("name", "source", "size", "salt").count(), "mix-cells")
     ordered = Window.partitionBy("name").orderBy(F.col("size").desc(), "salt").rowsBetween(*_BEFORE)
@@ -81,7 +84,7 @@ def systematic_copies(docs: DataFrame, seed: str = "mix") -> DataFrame:
     targets = source_targets(counts.select("source", (F.col("size") * F.col("count")).alias("size")))
     targets = targets.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0)))
     targets = targets.withColumn("offset", offset_of(F.col("source"), seed)).withColumnRenamed("source", "target_source")
-    in_cell = Window.partitionBy("name", "size", "salt").orderBy("id")
+    in_cell = Window.partitionBy("name", "size", "salt").orderBy("id", "tie")
     ranked = keyed.withColumn("nth", F.row_number().over(in_cell)).join(cells, ["name", "size", "salt"])
     place = F.col("before") + F.col("nth")
     crossed = F.floor(place * F.col("rate") + F.col("offset")) - F.floor((place - 1) * F.col("rate") + F.col("offset"))

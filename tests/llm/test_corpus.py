@@ -222,6 +222,31 @@ def test_mix_takes_near_its_targets(spark):
     assert abs(by.target.sum() - got["size"].sum()) < 1
 
 
+def test_mixing_of_ids_that_are_text(spark):
+    rows = [(f"id-{i}", " ".join("ab"[(i + j) % 2] for j in range(i % 9)), "pq"[i % 3 == 0]) for i in range(300)] + [(None, "x", "p"), ("7", "x", None)]
+    rows += [("same", t, "q") for t in ("a b", "b a", "a a")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    one, two = (sorted(map(str, mixing.systematic_copies(d).collect())) for d in (docs.repartition(7), docs.repartition(2)))
+    assert one == two and len(one) == len(rows)
+    got = mixing.systematic_copies(docs).toPandas()
+    by = got.assign(taken=got["size"] * got.copies, source=got.source.fillna("-")).groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert (abs(by.taken - by.target) <= 9).all()
+
+
+def test_fit_counts_documents_and_not_rows(spark, monkeypatch):
+    texts = [(i, f"good words number {i}" if i % 2 else f"bad stuff {i} {i}", "a") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _, _ in texts] * 3, "doc_id bigint, quality int")
+    seen = []
+    train = classifier.train
+    monkeypatch.setattr(classifier, "train", lambda ids, shares, y, s: seen.append(len(ids)) or train(ids, shares, y, s))
+    few, settings = documents(spark, texts), classifier.Settings(sample=12)
+    many = documents(spark, texts + texts[:5] * 200 + [(1, f"other text {i}", "a") for i in range(300)])
+    classifier.fit(many, labels, settings)
+    once, often = (classifier.fit(d, labels, classifier.Settings(sample=100)) for d in (few, documents(spark, texts * 20)))
+    assert seen[0] == 12 and seen[1] == seen[2] <= 40
+    assert np.array_equal(once.weights, often.weights) and once.bias == often.bias
+
+
 def test_targets_stop_at_three_times(spark):
     sized = spark.createDataFrame([("a", 100), ("b", 1), ("c", 2), (None, 4)], "source string, size bigint")
     got = {r.source: r.target for r in mixing.source_targets(sized).collect()}
