@@ -421,4 +421,4 @@ def test_pipeline_stages_on_odd_and_empty_rows(spark, odd, place):
 
 
 def test_one_query_of_each_number():
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 14))
