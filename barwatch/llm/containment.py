@@ -12,18 +12,25 @@ SHINGLE = 5
 CONTAINMENT = 0.8
 
 
-def runs_of(text: Column, n: int) -> Column:
-    """Hashes of the runs of ``n`` words; a shorter text is one run, an empty one has none.
+def runs_of(text: Column, lengths: list[int], shortest: bool = False) -> Column:
+    """Hashes of the runs of so many words, for each of ``lengths``; a text of fewer words has none of that length.
 
+    With ``shortest`` only the greatest length that the text reaches counts.
     The words stand in an array of one, so that however Spark moves this
     expression it splits a text once and not once a run.
     """
-    def runs(terms: Column) -> Column:
+    none = F.array().cast("array<bigint>")
+
+    def of(terms: Column, n: int) -> Column:
         each = F.transform(
             F.sequence(F.lit(0), F.greatest(F.size(terms) - n, F.lit(0))),
             lambda i: F.xxhash64(*[F.get(terms, i + k) for k in range(n)]),
         )
-        return F.when(F.size(terms) > 0, each).otherwise(F.array().cast("array<bigint>"))
+        return F.when(F.size(terms) >= n, each)
+
+    def runs(terms: Column) -> Column:
+        each = [of(terms, n) for n in sorted(lengths, reverse=True)]
+        return F.coalesce(*each, none) if shortest else F.concat(*[F.coalesce(e, none) for e in each])
 
     return F.get(F.transform(F.array(words(F.lower(text))), runs), F.lit(0))
 
@@ -62,17 +69,19 @@ def contained_items(
     searched once.  The sketches and items are broadcast while they are
     counted small (see ``join_parameters``) and shuffled beyond that.
 
-    Items shorter than ``n`` words are one run of all their words, which is
-    compared with runs of ``n`` words only in documents as short; an item
-    without words is never contained.  Null texts are empty; equal rows are
+    An item shorter than ``n`` words is one run of all its words, which is
+    looked for among the runs of that length in every document (only lengths that
+    items have are hashed); an item without words is never contained.  Null texts are empty; equal rows are
     one document with one row each per item; an empty table gives an empty
     result; other columns are ignored.
     """
     named = items.select("item_id", F.struct(F.lower(text_of()).alias("t")).alias("item"))
     classes = named.select("item").distinct().select(
-        F.xxhash64("item.t").alias("item"), F.array_distinct(runs_of(F.col("item.t"), n)).alias("runs"))
+        F.xxhash64("item.t").alias("item"), F.array_distinct(runs_of(F.col("item.t"), list(range(1, n + 1)), True)).alias("runs"))
+    length = F.least(F.size(words(F.lower(text_of()))), F.lit(n)).alias("length")
+    lengths = [r["length"] for r in items.select(length).distinct().collect() if r["length"] > 0]  # n at most
     text = text_of()
-    rows = docs.select("doc_id", F.xxhash64(text).alias("text_key"), runs_of(text, n).alias("runs"))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("text_key"), runs_of(text, lengths or [n]).alias("runs"))
     hits = (
         join_parameters(rows.select("doc_id", "text_key", F.explode_outer("runs").alias("hash")), item_sketches(classes, n, containment), ["hash"])
         .select("doc_id", "text_key", "item").distinct()
@@ -113,16 +122,18 @@ WITH doc AS (
   SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), item AS (
   SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM benchmark
+), lengths AS (
+  SELECT DISTINCT least(len(w), 5) AS n FROM item WHERE len(w) > 0
 ), doc_runs AS (
-  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
-  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM doc WHERE len(w) > 0)
+  SELECT DISTINCT doc_id, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc JOIN lengths ON len(w) >= n)
 ), item_runs AS (
-  SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS g
-  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM item WHERE len(w) > 0)
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(len(w), 5) AS n, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM item WHERE len(w) > 0)
 ), sizes AS (
   SELECT item_id, count(*) AS size FROM item_runs GROUP BY item_id
 )
 SELECT doc_id, item_id, count(*) AS shared, any_value(size) AS size, round(count(*) / any_value(size), 6) AS contained
-FROM doc_runs JOIN item_runs USING (g) JOIN sizes USING (item_id)
+FROM doc_runs JOIN item_runs USING (n, g) JOIN sizes USING (item_id)
 GROUP BY doc_id, item_id HAVING count(*) / any_value(size) >= 0.8
 """

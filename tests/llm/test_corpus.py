@@ -66,6 +66,24 @@ def test_odd_rows_in_containment(spark, odd):
     assert containment.contained_items(odd.limit(0), items).count() == containment.contained_items(odd, items.limit(0)).count() == 0
 
 
+def test_items_in_documents_against_brute_force(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcde") for _ in range(rng.randrange(40))) for _ in range(60)] + ["So then THE quick\tfox ran over all of the old hills again"]
+    items = [" ".join(rng.choice("abcde") for _ in range(k)) for k in (1, 2, 3, 4, 4, 5, 6, 9)] + ["the quick fox", "quick fox ran", "fox quick", "zz a", ""]
+    runs = lambda t, n: {tuple(t[i : i + n]) for i in range(len(t) - n + 1)}
+    want = set()
+    for i, text in enumerate(texts):
+        for j, item in enumerate(items):
+            w = item.lower().split()
+            n = min(len(w), 5)
+            if w and len(runs(text.lower().split(), n) & runs(w, n)) >= 0.8 * len(runs(w, n)):
+                want.add((i, j))
+    docs = documents(spark, [(i, t, "a") for i, t in enumerate(texts)])
+    got = containment.contained_items(docs, spark.createDataFrame(list(enumerate(items)), "item_id int, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+    assert {(60, 8), (60, 9)} <= want and (60, 10) not in want
+
+
 def test_fit_without_labels(spark, odd):
     model = classifier.fit(odd, spark.createDataFrame([], "doc_id bigint, quality int"))
     assert set(classifier.score_quality(odd, model).toPandas().quality_score) == {0.5}
