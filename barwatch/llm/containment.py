@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barwatch.llm.common import same_row, table, text_of, words
-from barwatch.session import join_parameters
+from barwatch.session import join_parameters, materialize
 
 SHINGLE = 5
 CONTAINMENT = 0.8
+HIT_ROWS = 400_000  # ids of two numbers that may be broadcast, some tens of bytes each
 
 
 def runs_of(text: Column, lengths: list[int], shortest: bool = False) -> Column:
@@ -64,10 +65,10 @@ def contained_items(
     Arrays are exploded "outer", since Spark filters the input of a plain
     explode by the array's size and computes it twice for that.  A null hash
     joins nothing.  A document's shingles are compared with the sketches of all items by one
-    hash join.  Each hit names the document and the item; for those pairs alone the document's
-    shingles are counted against all of the item's.  Items of one text are
+    hash join, which names the document and the item of each hit.  The documents that were hit, and no
+    others, are read again and their shingles counted against all of the item's.  Items of one text are
     searched once.  The sketches and items are broadcast while they are
-    counted small (see ``join_parameters``) and shuffled beyond that.
+    counted small (see ``join_parameters``) and shuffled beyond that; so are the ids of the documents hit.
 
     An item shorter than ``n`` words is one run of all its words, which is
     looked for among the runs of that length in every document (only lengths that
@@ -82,18 +83,19 @@ def contained_items(
     lengths = [r["length"] for r in items.select(length).distinct().collect() if r["length"] > 0]  # n at most
     text = text_of()
     rows = docs.select("doc_id", F.xxhash64(text).alias("text_key"), runs_of(text, lengths or [n]).alias("runs"))
-    hits = (
+    hits = materialize(
         join_parameters(rows.select("doc_id", "text_key", F.explode_outer("runs").alias("hash")), item_sketches(classes, n, containment), ["hash"])
-        .select("doc_id", "text_key", "item").distinct()
-    )
-    held = hits.groupBy("doc_id", "text_key").agg(F.collect_list("item").alias("items"))
-    other = held.withColumnsRenamed({"doc_id": "d_id", "text_key": "d_key"})
-    candidates = rows.join(other, rows["doc_id"].eqNullSafe(other["d_id"]) & (rows["text_key"] == other["d_key"])).select(
-        "doc_id", "text_key", "items", F.explode_outer("runs").alias("hash"))
+        .select("doc_id", "text_key", "item").distinct(), "hits")
+    met = hits.select("doc_id", "text_key").distinct()
+    if met.count() <= HIT_ROWS:
+        met = F.broadcast(met)
+    texts = docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("text"))
+    again = texts.join(met, same_row(texts, met), "left_semi")
+    candidates = again.select("doc_id", "text_key", F.explode_outer(runs_of(F.col("text"), lengths or [n])).alias("hash"))
     full = classes.select("item", F.size("runs").alias("size"), F.explode_outer("runs").alias("hash"))
+    both = join_parameters(candidates, full, ["hash"])
     shared = (
-        join_parameters(candidates, full, ["hash"])
-        .filter(F.array_contains("items", F.col("item")))
+        both.join(hits, same_row(both, hits) & (both["item"] == hits["item"]), "left_semi")
         .groupBy("doc_id", "text_key", "item", "size")
         .agg(F.countDistinct("hash").alias("shared"))
         .withColumn("contained", F.col("shared") / F.col("size"))

@@ -79,8 +79,11 @@ def test_items_in_documents_against_brute_force(spark):
             if w and len(runs(text.lower().split(), n) & runs(w, n)) >= 0.8 * len(runs(w, n)):
                 want.add((i, j))
     docs = documents(spark, [(i, t, "a") for i, t in enumerate(texts)])
-    got = containment.contained_items(docs, spark.createDataFrame(list(enumerate(items)), "item_id int, text string"))
-    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+    for limit in (containment.HIT_ROWS, 0):
+        with pytest.MonkeyPatch.context() as patched:
+            patched.setattr(containment, "HIT_ROWS", limit)
+            got = containment.contained_items(docs, spark.createDataFrame(list(enumerate(items)), "item_id int, text string"))
+            assert {(r.doc_id, r.item_id) for r in got.collect()} == want
     assert {(60, 8), (60, 9)} <= want and (60, 10) not in want
 
 
