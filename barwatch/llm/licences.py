@@ -110,6 +110,40 @@ SINGLE = [
     Rule("gpl-grant", "gpl", 0, "free software", r"this program is free software you can redistribute it and or modify it", 0.98),
     Rule("public-domain", "public-domain", 2, "public domain", r"(?:released into|dedicated to|placed in|in) the public domain", 0.8),
     Rule("reserved", "all-rights-reserved", 3, "all rights reserved", r"all rights reserved", 0.6),
+    # Sentences of the licences' own texts and notices.
+    Rule("gpl-warranty", "gpl", 1, "implied warranty of merchantability", r"without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license", 0.95),
+    Rule("gpl-copy", "gpl", 1, "you should have received a copy", r"you should have received a copy of the gnu general public license", 0.95),
+    Rule("lgpl-copy", "lgpl", 1, "you should have received a copy", r"you should have received a copy of the gnu (?:lesser|library) general public license", 0.95),
+    Rule("agpl-copy", "agpl", 1, "you should have received a copy", r"you should have received a copy of the gnu affero general public license", 0.95),
+    Rule("gfdl-grant", "gfdl", 1, "permission is granted to copy", r"permission is granted to copy distribute and or modify this document", 0.95),
+    Rule("apache-notice", "apache", 1, "you may not use this file except", r"you may not use this file except in compliance with the license", 0.9),
+    Rule("apache-as-is", "apache", 2, "agreed to in writing", r"unless required by applicable law or agreed to in writing software distributed under the license", 0.85),
+    Rule("mit-notice", "mit", 2, "permission notice shall be included", r"the above copyright notice and this permission notice shall be included in all copies", 0.85),
+    Rule("mit-as-is", "mit", 3, "provided as is without warranty", r"the software is provided as is without warranty of any kind", 0.6),
+    Rule("isc-as-is", "isc", 1, "author disclaims all warranties", r"the software is provided as is and the author disclaims all warranties", 0.9),
+    Rule("bsd-endorse", "bsd", 2, "used to endorse or promote", r"may be used to endorse or promote products derived from this software", 0.85),
+    Rule("bsd-source", "bsd", 2, "redistributions of source code", r"redistributions of source code must retain the above copyright notice", 0.85),
+    Rule("bsd-advert", "bsd", 2, "advertising materials mentioning", r"all advertising materials mentioning features or use of this software must display", 0.9),
+    Rule("mpl-form", "mpl", 1, "source code form is subject", r"this source code form is subject to the terms of the mozilla public license", 0.98),
+    Rule("mpl-file", "mpl", 1, "contents of this file are subject", r"the contents of this file are subject to the mozilla public license", 0.95),
+    Rule("cddl-file", "cddl", 1, "contents of this file are subject", r"the contents of this file are subject to the terms of the common development and distribution license", 0.95),
+    Rule("epl-notice", "epl", 1, "accompanying materials are made available", r"this program and the accompanying materials are made available under the terms of the eclipse public license", 0.95),
+    Rule("eupl-notice", "eupl", 1, "under the eupl", r"licen[cs]ed under the eupl", 0.95),
+    Rule("zlib-marked", "zlib", 1, "altered source versions", r"altered source versions must be plainly marked as such", 0.95),
+    Rule("zlib-origin", "zlib", 1, "origin of this software", r"the origin of this software must not be misrepresented", 0.9),
+    Rule("boost-grant", "boost", 1, "obtaining a copy of the software and accompanying", r"obtaining a copy of the software and accompanying documentation covered by this license", 0.95),
+    Rule("unlicense-grant", "unlicense", 0, "free and unencumbered", r"this is free and unencumbered software(?: released into the public domain)?", 0.98),
+    Rule("wtfpl-grant", "wtfpl", 0, "do what the fuck you want", r"do what the fuck you want to(?: public license)?", 0.98),
+    Rule("cc0-waiver", "cc0", 1, "waived all copyright", r"has waived all copyright and related or neighboring rights", 0.95),
+    Rule("cc0-link", "cc0", 0, "creativecommons org", r"creativecommons org publicdomain zero 1 0", 0.98),
+    Rule("ofl-name", "ofl", 1, "reserved font name", r"with reserved font name", 0.9),
+    Rule("python-psf", "python", 1, "psf license agreement", r"psf license agreement(?: for python)?", 0.95),
+    Rule("php-notice", "php", 1, "subject to version", r"this source file is subject to version [23] 0[01]? of the php license", 0.95),
+    Rule("openssl-credit", "openssl", 1, "openssl toolkit", r"for use in the openssl toolkit", 0.9),
+    Rule("artistic-perl", "artistic", 1, "same terms as perl", r"(?:under|on) the same terms as perl(?: itself)?", 0.8),
+    Rule("odbl-notice", "odbl", 1, "made available under the open database", r"is made available under the open database license", 0.95),
+    Rule("confidential", "proprietary", 2, "proprietary and confidential", r"proprietary and confidential", 0.8),
+    Rule("no-copying", "proprietary", 2, "unauthorized copying", r"unauthorized copying of this file", 0.8),
     Rule("copyright", "copyright", 4, "copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}", 0.5),
 ]
 PRIORITIES = 5
@@ -139,6 +173,15 @@ def _blanks(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
+def running(items: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Each item joined with all before it, in doubling strides: n log n steps, where appending to an array copies it n times."""
+    def scan(first: Column) -> Column:
+        strides = F.transform(F.sequence(F.lit(0), F.length(F.bin(F.size(first)))), lambda k: F.pow(F.lit(2), k).cast("int"))
+        return F.aggregate(strides, first, lambda now, by: F.transform(now, lambda x, i: F.coalesce(join(F.get(now, i - by), x), x)))
+
+    return F.get(F.transform(F.array(items), scan), F.lit(0))
+
+
 def places(spaced: Column, pattern: Column) -> Column:
     """Word ranges (start, end) of a rule's matches, from left to right; ``spaced`` has a blank before and after every word.
 
@@ -149,12 +192,10 @@ def places(spaced: Column, pattern: Column) -> Column:
         F.transform(F.regexp_extract_all(spaced, whole, F.lit(1)), _blanks).alias("gap"),
         F.transform(F.regexp_extract_all(spaced, whole, F.lit(0)), _blanks).alias("both"),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found"))
-    step = lambda acc, m: F.struct(
-        (acc["at"] + m["both"]).alias("at"),
-        F.concat(acc["found"], F.array(F.struct((acc["at"] + m["gap"]).alias("start"), (acc["at"] + m["both"]).alias("end")))).alias("found"),
-    )
-    return F.aggregate(found, start, step, lambda acc: acc["found"])
+    at = lambda matches: F.zip_with(
+        running(F.transform(matches, lambda m: m["both"]), lambda a, b: a + b), matches,
+        lambda end, m: F.struct((end - m["both"] + m["gap"]).alias("start"), end.alias("end")))
+    return F.get(F.transform(F.array(found), at), F.lit(0))
 
 
 def _rule_array() -> Column:
@@ -166,18 +207,14 @@ def _rule_array() -> Column:
 def _unsuppressed(found: Column) -> Column:
     """Less the detections inside one of the same or an earlier priority.  ``found`` is ordered by start, then falling end.
 
-    One pass: the furthest end so far of each priority says whether a later
-    detection lies inside.
+    The furthest end so far of each priority says whether a later detection lies inside.
     """
-    first = F.struct(F.array(*[F.lit(-1)] * PRIORITIES).alias("ends"), F.slice(found, 1, 0).alias("kept"))
-
-    def step(acc: Column, d: Column) -> Column:
-        reach = F.array_max(F.slice(acc["ends"], F.lit(1), d["priority"] + 1))
-        ends = F.transform(acc["ends"], lambda e, i: F.when(i == d["priority"], F.greatest(e, d["end"])).otherwise(e))
-        kept = F.when(reach >= d["end"], acc["kept"]).otherwise(F.concat(acc["kept"], F.array(d)))
-        return F.struct(ends.alias("ends"), kept.alias("kept"))
-
-    return F.aggregate(found, first, step, lambda acc: acc["kept"])
+    own = F.transform(found, lambda d: F.transform(
+        F.sequence(F.lit(0), F.lit(PRIORITIES - 1)), lambda p: F.when(p == d["priority"], d["end"]).otherwise(F.lit(-1))))
+    furthest = running(own, lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x, y)))
+    reach = lambda ends, d: F.coalesce(F.array_max(F.slice(ends, F.lit(1), d["priority"] + 1)), F.lit(-1))
+    kept = lambda ends: F.filter(found, lambda d, i: reach(F.get(ends, i - 1), d) < d["end"])
+    return F.get(F.transform(F.array(furthest), kept), F.lit(0))
 
 
 def detections(spaced: Column) -> Column:

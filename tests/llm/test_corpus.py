@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -315,6 +316,28 @@ def test_licence_base_and_rules(spark):
     assert len(list(licences.rules())) > 200
 
 
+def test_licences_of_a_long_dense_text(spark):
+    rng = random.Random(4)
+    terms = [rng.choice(("mit license", "licensed under the mit license", "cc by nc", "x", "apache license version 2 0", "all rights reserved")) for _ in range(30_000)]
+    text = " ".join(terms)
+    started = time.monotonic()
+    found = licences.scan_licences(documents(spark, [(1, text, "a"), (2, "mit license " * 32_000, "a")])).toPandas().set_index("doc_id")
+    assert time.monotonic() - started < 120 and len(found.base[2]) == 32_000
+    spaced, ranges = f" {text} ", []
+    for rule in licences.rules():
+        if f" {rule.keyword}" in spaced:
+            for m in re.finditer(rf" (?:{rule.pattern})(?= )", spaced):
+                ranges.append((m.start(), -m.end(), rule.priority, rule.label))
+    ranges.sort()
+    furthest, want = [-1] * licences.PRIORITIES, []
+    for start, end, priority, label in ranges:
+        if max(furthest[: priority + 1]) < -end:
+            want.append((start, -end, label))
+        furthest[priority] = max(furthest[priority], -end)
+    blanks = np.cumsum([c == " " for c in spaced])
+    assert [(d.start, d.end, d.label) for d in found.spans[1]] == [(blanks[a] - 1, blanks[b - 1], label) for a, b, label in want]
+
+
 def spellings(pattern):
     """All texts that a rule's regex matches."""
     def each(parsed):
