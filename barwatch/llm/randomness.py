@@ -1,8 +1,9 @@
 """Secrets by their form and by how random they look.
 
 The base patterns find assignments, access keys and hexadecimal runs.  The
-method takes every other long token, infers its encoding, and asks a battery
-of tests whether its symbols could be drawn at random from that alphabet.
+method takes every long token, also those inside base spans, infers its
+encoding, and asks a battery of tests whether its symbols could be drawn at
+random from that alphabet.
 """
 
 from __future__ import annotations
@@ -10,9 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +51,8 @@ def even_chi2_tail(x: float, half: int) -> float:
 
 
 def encoding_of(token: str) -> str | None:
-    """The narrowest alphabet that holds the token; a token of letters or digits alone has none."""
-    if token.isalpha() or token.isdigit():
+    """The narrowest alphabet that holds the token; digits alone are a number and have none."""
+    if token.isdigit():
         return None
     symbols = set(token)
     return next((name for name, alphabet in ALPHABETS.items() if symbols <= set(alphabet)), None)
@@ -111,13 +110,9 @@ def tokens(text: str) -> Iterator[tuple[int, int]]:
             yield from sorted(p.span() for w in WIDEST for p in w.finditer(text, *m.span()))
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
-    """(start, end, length class, p-value bin) of tokens that touch no base span."""
-    starts = [s for s, _, _ in base]
-    reach = list(accumulate((e for _, _, e in base), max, initial=-1))  # furthest end of the first spans
+def candidates(text: str) -> Iterator[tuple[int, int, int, int]]:
+    """(start, end, length class, p-value bin) of every token that has an encoding."""
     for start, end in tokens(text):
-        if start < reach[bisect_left(starts, end)]:
-            continue
         token = text[start:end]
         if encoding := encoding_of(token):
             p = randomness(token, encoding)
@@ -137,7 +132,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = text.as_py()
             spans = base_spans(text)
             base.append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
-            more.append([{"start": a, "end": b, "size": n, "bin": p} for a, b, n, p in candidates(text, spans)])
+            more.append([{"start": a, "end": b, "size": n, "bin": p} for a, b, n, p in candidates(text)])
         yield pa.RecordBatch.from_arrays(
             [batch.column("row"), pa.array(base, pa.list_(_SPAN)), pa.array(more, pa.list_(_CANDIDATE))], ["row", "base", "candidates"]
         )
@@ -171,7 +166,7 @@ def scan_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     that goes to the driver), which gives the least p-value of each class at
     which at most ``rate`` of the tokens called random would be ordinary ones.
 
-    A null text is empty and has no spans; null ids, repeated rows and an
+    A text of any length is read whole, in time in proportion to it.  A null text is empty and has no spans; null ids, repeated rows and an
     empty table need no care; other columns are ignored.
     """
     ship_package(docs.sparkSession)

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
@@ -412,6 +413,60 @@ def test_values_after_a_sign_or_glued_to_a_name_are_tested(spark):
     assert all(sum(hits[i : i + 60]) > 50 for i in range(0, len(hits), 60))
 
 
+def slow_p_value(token, alphabet):
+    """The battery from its definitions: tails in closed form, sums symbol by symbol."""
+    size, n = len(alphabet), len(token)
+    if size > 32:
+        classes = ["etaoinsrhld", "bcfgjkmpquvwxyz", "ABCDEFGHIJKLM", "NOPQRSTUVWXYZ"]
+        classes.append("".join(c for c in alphabet if not c.isalpha()))
+    else:
+        classes = ["".join(c for i, c in enumerate(alphabet) if i * 5 // size == k) for k in range(5)]
+    chi = sum((sum(c in part for c in token) - n * len(part) / size) ** 2 / (n * len(part) / size) for part in classes)
+    at = [alphabet.index(c) for c in token]
+    changes = sum((a * 2 >= size) != (b * 2 >= size) for a, b in zip(at, at[1:]))
+    mean = sum(range(size)) / size
+    spread = sum((i - mean) ** 2 for i in range(size)) / size
+    serial = sum((a - mean) * (b - mean) for a, b in zip(at, at[1:])) / spread / math.sqrt(n - 1)
+    tails = [math.exp(-chi / 2) * (1 + chi / 2), math.erfc(abs(2 * changes - (n - 1)) / math.sqrt(2 * (n - 1))), math.erfc(abs(serial) / math.sqrt(2))]
+    half = -sum(math.log(max(p, 1e-300)) for p in tails)
+    return min(1.0, math.exp(-half) * (1 + half + half * half / 2))
+
+
+def test_secret_spans_against_brute_force(spark):
+    rng = random.Random(21)
+    draw = lambda name, n: "".join(rng.choice(randomness.ALPHABETS[name]) for _ in range(n))
+    texts = []
+    for i in range(400):
+        name, n = rng.choice(list(randomness.ALPHABETS)), rng.choice((20, 24, 25, 40, 64, 130))
+        value = draw(name, n) if i % 2 else "".join(rng.choice(("the", "Page", "ing", "And", "7")) for _ in range(n))[:n]
+        texts.append(rng.choice(("see {} here", "token: {}", "{}", "api_key = '{}'", "é {}\n")).format(value))
+    letters = "".join(c for c in draw("base62", 90) if c.isalpha())
+    texts += [f"see {letters} here", "number 12345678901234567890123", "x" * 30, "password=" + "aB3" * 20, None, "", (LONG + " key=" + draw("base64", 40) + " ") * 3]
+    counts, tokens = defaultdict(Counter), defaultdict(list)
+    for i, text in enumerate(texts):
+        for start, end in randomness.tokens(text or ""):
+            token = text[start:end]
+            fits = [a for a in randomness.ALPHABETS.values() if set(token) <= set(a)]
+            if fits and not token.isdigit():
+                size, place = sum(end - start > x for x in (24, 32, 40, 64, 128)), min(int(slow_p_value(token, fits[0]) * 200), 199)
+                counts[size][place] += 1
+                tokens[i].append((start, end, size, place))
+    cuts = {}
+    for size, seen in counts.items():
+        even = sum(seen[b] for b in range(100, 200)) / 100
+        fits = [c for c in range(200) for above in [sum(seen[b] for b in range(c, 200))]
+                if above and max(above - even * (200 - c), 0) <= 0.05 * above + math.sqrt(even * (200 - c))]
+        cuts[size] = min(fits, default=200)
+    got = randomness.scan_secrets(documents(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()
+    inside = 0
+    for r in got:
+        added = [(a, 3, b) for a, b, size, place in tokens[r.doc_id] if place >= cuts[size]]
+        base = [(s.start, s.kind, s.end) for s in r.base]
+        assert sorted(base + added) == [(s.start, s.kind, s.end) for s in r.spans]
+        inside += sum(any(a <= x and y <= b for a, _, b in base) for x, _, y in added)
+    assert inside > 30 and any(tokens[400]) and not tokens[401] and len(tokens[406]) == 3
+
+
 def test_tokens_of_runs():
     text = "name_of_it_" + "A+b/" * 6 + "-tail " + "x" * 30 + "== " + "a/b_c" * 9 + " short=short"
     assert [text[a:b] for a, b in randomness.tokens(text)] == ["A+b/" * 6, "x" * 30]
