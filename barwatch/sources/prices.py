@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import csv
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barwatch.functions.checks import check_header, parse_symbol
 from barwatch.schema import OHLCV, PRICE_SCHEMA, SYMBOL
-from barwatch.session import one_file_each
+from barwatch.session import one_file_each, ship_package
 
 _PRICES = ["Close", "High", "Low", "Open"]
 
@@ -27,23 +28,36 @@ PREVIEW_ROWS = 50
 DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "yyyyMMdd", "M/d/yyyy", "d.M.yyyy", "d-MMM-yyyy", "MMM d, yyyy")
 
 
-def csv_header(spark: SparkSession, file: str) -> list[str]:
-    """The first line's cells, read through Hadoop's file system without a job."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(file)
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(path.getFileSystem(conf).open(path), "UTF-8"))
-    try:
-        line = reader.readLine()
-    finally:
-        reader.close()
-    return next(csv.reader([line.lstrip("\ufeff")]), []) if line else []
+def _first_header(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cells of a partition's first line; the rest is not read."""
+    for batch in batches:
+        if batch.num_rows:
+            line = batch.column("value")[0].as_py().lstrip("\ufeff")
+            cells = next(csv.reader([line]), []) if line else []
+            yield pa.RecordBatch.from_arrays([pa.array([cells], pa.list_(pa.string()))], ["header"])
+            return
 
 
 def check_headers(spark: SparkSession, files: list[str]) -> None:
-    """Check the header of every file; only first lines are read."""
-    with ThreadPoolExecutor(16) as pool:
-        for header in pool.map(lambda file: csv_header(spark, file), files):
-            check_header(header)
+    """Check the header of every file; only first lines are read, each in a task of its own.
+
+    A session with its own settings, beside the caller's, gives each file one
+    partition and hands over one line at a time, so a task stops after the first.
+    The driver opens no file and sees one wrong header at most.
+    """
+    if not files:
+        return
+    ship_package(spark)
+    beside = spark.newSession()
+    whole = str(1 << 50)
+    beside.conf.set("spark.sql.files.maxPartitionBytes", whole)
+    beside.conf.set("spark.sql.files.openCostInBytes", whole)
+    beside.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    headers = beside.read.text(files).select("value").mapInArrow(_first_header, "header array<string>")
+    wrong = F.col("header") != F.array(*[F.lit(c) for c in OHLCV])
+    seen = headers.agg(F.count(F.lit(1)).alias("files"), F.min(F.when(wrong, F.col("header"))).alias("wrong")).first()
+    if seen["wrong"] is not None or seen["files"] < len(files):
+        check_header(seen["wrong"] or [])
 
 
 def scan_prices(
