@@ -512,6 +512,26 @@ def test_pipeline_stages(spark):
     assert sorted(map(tuple, whole[key].values)) == sorted(map(tuple, last[key].values))
 
 
+def test_filtering_stages_against_brute_force(spark):
+    docs = table(spark, SF_SMALL, "documents")
+    rows = docs.toPandas()
+    ids = rows.doc_id.tolist()
+    prints = [simhash.fingerprint(t.encode()) for t in rows.text]
+    one_each = set(brute_components(prints, ids))
+    assert sorted(corpus_pipeline.near_duplicates(spark, docs, SF_SMALL).toPandas().doc_id) == sorted(one_each)
+
+    def runs(text, n):
+        w = text.lower().split()
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+    items = [(min(len(t.split()), 5), t) for t in table(spark, SF_SMALL, "benchmark").toPandas().text if t and t.split()]
+    items = [(n, runs(t, n)) for n, t in items]
+    held = {n: [runs(t, n) for t in rows.text] for n in {n for n, _ in items}}
+    clean = [i for k, i in enumerate(ids) if not any(len(held[n][k] & item) >= 0.8 * len(item) for n, item in items)]
+    assert sorted(corpus_pipeline.decontamination(spark, docs, SF_SMALL).toPandas().doc_id) == sorted(clean)
+    assert 0 < len(clean) < len(ids) and len(one_each) < len(ids)
+
+
 @pytest.mark.parametrize("place", range(5))
 def test_pipeline_stages_on_odd_and_empty_rows(spark, odd, place):
     stage = corpus_pipeline.STAGES[place][1]
