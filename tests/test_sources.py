@@ -98,19 +98,6 @@ def test_one_bad_file_in_a_folder_is_rejected(spark, tmp_path):
         px.scan_prices(spark, str(tmp_path))
 
 
-def test_headers_are_read_in_tasks_and_no_further(spark, tmp_path):
-    files = [write(tmp_path, f"s{i}.csv", HEADER + "2020-01-02,1,1,1,1,1\n" * 300) for i in range(40)]
-    px.check_headers(spark, files)
-    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != "1"
-    got = px.scan_prices(spark, str(tmp_path))
-    assert got.count() == 40 * 300 and got.select("symbol").distinct().count() == 40
-    write(tmp_path, "s7.csv", "\ufeff" + HEADER)
-    px.check_headers(spark, files)
-    write(tmp_path, "s9.csv", "")
-    with pytest.raises(ValueError, match="unexpected columns"):
-        px.check_headers(spark, files)
-
-
 def test_file_without_rows(spark, tmp_path):
     path = write(tmp_path, "x.csv", HEADER)
     got = px.scan_prices(spark, str(path))
