@@ -47,13 +47,18 @@ class WaveletTree:
 
 
 class FMIndex:
-    """Counts of a pattern in a text of codes, one code of the pattern at a time from its end."""
+    """Counts of a pattern in a text of codes, one code of the pattern at a time from its end.
 
-    def __init__(self, codes: np.ndarray, sigma: int) -> None:
+    A position of the text counts as often as ``weights`` has it, so copies of a
+    text are indexed once.
+    """
+
+    def __init__(self, codes: np.ndarray, sigma: int, weights: np.ndarray) -> None:
         bits = max(int(sigma - 1).bit_length(), 1)
         order, _ = suffix_order(codes, bits)
         self.size = len(codes)
         self.tree = WaveletTree(codes[order - 1], bits)
+        self.places = np.append(0, np.cumsum(weights[order]))
         every = np.arange(sigma)
         first = np.append(0, np.cumsum(np.bincount(codes, minlength=sigma)))[:-1]
         self.shift = first - self.tree.descend(every, np.zeros(sigma, np.int64))
@@ -63,6 +68,9 @@ class FMIndex:
         shift = self.shift[codes]
         return both[: len(codes)] + shift, both[len(codes) :] + shift
 
+    def count(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return self.places[high] - self.places[low]
+
 
 def repeated_windows(index: FMIndex, codes: np.ndarray, begins: np.ndarray, sizes: np.ndarray, window: int) -> np.ndarray:
     """Which positions of ``codes`` start a window of a pattern that the index holds twice.
@@ -87,7 +95,7 @@ def repeated_windows(index: FMIndex, codes: np.ndarray, begins: np.ndarray, size
 
     while len(live):
         l, h = index.extend(codes[begins[live] + at[live] - 1], low[live], high[live])
-        twice = h - l >= 2
+        twice = index.count(l, h) >= 2
         probe = target[live] >= 0
         good = live[twice]
         low[good], high[good] = l[twice], h[twice]
@@ -128,8 +136,8 @@ def word_units(texts: list[bytes]) -> Units:
     return Units(b" ".join(every), at, at + lengths, hashes, np.cumsum(sizes) - sizes)
 
 
-def mark_repeated_words(pieces: list[bytes], window: int) -> list[np.ndarray]:
-    """Starts in each piece of windows of words that also stand elsewhere in these pieces."""
+def mark_repeated_words(pieces: list[bytes], places: np.ndarray, window: int) -> list[np.ndarray]:
+    """Starts in each piece of windows of words that stand twice, where each piece stands in so many ``places``."""
     lists = [p.split(b" ") for p in pieces]
     numbers: dict[bytes, int] = {}
     sizes = np.array([len(x) for x in lists], np.int64)
@@ -140,7 +148,8 @@ def mark_repeated_words(pieces: list[bytes], window: int) -> list[np.ndarray]:
     inside = np.ones(len(codes), bool)
     inside[ends] = False
     codes[inside] = flat
-    marks = repeated_windows(FMIndex(codes, len(numbers) + 1), codes, begins, sizes, window)
+    index = FMIndex(codes, len(numbers) + 1, np.repeat(places, sizes + 1))
+    marks = repeated_windows(index, codes, begins, sizes, window)
     return [np.flatnonzero(marks[b : b + n]) for b, n in zip(begins, sizes)]
 
 

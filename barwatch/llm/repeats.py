@@ -47,14 +47,15 @@ class Units:
 class Kind:
     """A window's size and its grams', how documents become units, and how a shard is searched.
 
-    ``mark`` gets the pieces of a shard (bytes) and returns for each one the
-    starts of windows, in units, that also stand elsewhere in the shard.
+    ``mark`` gets the distinct pieces of a shard (bytes) and in how many places
+    each one stands, and returns for each one the starts of windows, in units,
+    that stand in two places or more.
     """
 
     window: int
     gram: int
     units: Callable[[list[bytes]], Units]
-    mark: Callable[[list[bytes]], list[np.ndarray]]
+    mark: Callable[[list[bytes], np.ndarray], list[np.ndarray]]
 
 
 def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -167,12 +168,9 @@ def _search(batches: Iterator[pa.RecordBatch], kind: Kind, shard_bytes: int) ->
     size, last = 0, None
 
     def flush() -> pa.RecordBatch:
-        pieces = [piece for piece, _ in held.values()]
-        marked = kind.mark(pieces)
+        pieces, places = zip(*held.values())
         keys, begins, ends = [], [], []
-        for (key, (piece, places)), starts in zip(held.items(), marked):
-            if places > 1:
-                starts = np.arange(len(kind.units([piece]).at) - kind.window + 1)
+        for key, starts in zip(held, kind.mark(list(pieces), np.array(places, np.int64))):
             if len(starts):
                 cut = np.flatnonzero(np.diff(starts) > 1)
                 keys.append(key)

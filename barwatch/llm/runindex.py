@@ -27,15 +27,20 @@ class RunIndex:
     are neighbours again, with one more byte in common.  So along the text,
     the length that a position shares with its neighbour in suffix order falls
     by one a byte, except where a run ends.  It is kept at those places only.
+
+    The text is pieces, each up to its place in ``ends``, where a letter of no
+    piece stands.  One that stands in several ``places`` is indexed once: its
+    copy would be its neighbour in suffix order, with all bytes up to its end in
+    common, and that descent is kept at its end.
     """
 
-    def __init__(self, text: np.ndarray, most: int) -> None:
+    def __init__(self, text: np.ndarray, most: int, ends: np.ndarray, places: np.ndarray) -> None:
         keys, many = packed(text, 8)
         order, rank = suffix_order(text, 8, (keys, many))
         self.size = len(text)
         before = np.where(order > 0, text[order - 1].astype(np.int64), -1)
         change = before[1:] != before[:-1]
-        self.samples = []
+        self.samples = [(ends, np.where(places > 1, 0, -ends))]
         for run_end, step in ((np.append(True, change), -1), (np.append(change, True), 1)):
             # The position before a run's end starts a new descent; so does the last one.
             sampled = np.zeros(len(text), bool)
@@ -63,15 +68,12 @@ def byte_units(texts: list[bytes]) -> Units:
     return Units(data, at, at + 1, _BYTE_HASH[np.frombuffer(data, np.uint8)], np.cumsum(sizes) - sizes)
 
 
-def mark_long_matches(pieces: list[bytes], length: int) -> list[np.ndarray]:
-    """Starts in each piece of strings of ``length`` bytes that also start elsewhere in these pieces."""
+def mark_long_matches(pieces: list[bytes], places: np.ndarray, length: int) -> list[np.ndarray]:
+    """Starts in each piece of strings of ``length`` bytes that start twice, where each piece stands in so many ``places``."""
     text = np.frombuffer(bytes([END]).join(pieces) + bytes([END]), np.uint8)
-    long = RunIndex(text, length).matching_statistics() >= length
-    found, begin = [], 0
-    for piece in pieces:
-        found.append(np.flatnonzero(long[begin : begin + len(piece) - length + 1]))
-        begin += len(piece) + 1
-    return found
+    ends = np.cumsum([len(piece) + 1 for piece in pieces]) - 1
+    long = RunIndex(text, length, ends, places).matching_statistics() >= length
+    return [np.flatnonzero(long[end - len(piece) : end - length + 1]) for piece, end in zip(pieces, ends.tolist())]
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -156,6 +156,24 @@ def test_equal_rows_repeat_each_other(spark):
         assert sorted(got.n_removed) == [0, 50, 50]
 
 
+def test_the_index_alone_finds_repeats(spark, monkeypatch):
+    docs = documents(spark, [(1, "abcdefghij" * 5, "a"), (2, "abcdefghij" * 5, "a"), (3, "a b c d e f g h " * 3, "a"), (4, "a b c d e f g h " * 3, "a")])
+    found = lambda: (sum(runindex.drop_repeated_bytes(docs, 22, 4).toPandas().n_removed), sum(fmindex.drop_repeated_words(docs, 12, 4).toPandas().n_removed))
+    assert found() == (196, 48)
+    for module, name in ((runindex, "mark_long_matches"), (fmindex, "mark_repeated_words")):
+        monkeypatch.setattr(module, name, lambda pieces, places, **size: [np.empty(0, np.int64) for _ in pieces])
+    assert found() == (0, 0)
+
+
+def test_pieces_count_by_their_places():
+    pieces = [b"abcdefgh", b"xxcdefyy", b"klmnopqr", b"stuvwxyz"]
+    got = runindex.mark_long_matches(pieces, np.array([1, 1, 3, 1]), 4)
+    assert [g.tolist() for g in got] == [[2], [2], [0, 1, 2, 3, 4], []]
+    words = [b" ".join(bytes([b]) for b in p) for p in pieces]
+    got = fmindex.mark_repeated_words(words, np.array([1, 1, 3, 1]), 4)
+    assert [g.tolist() for g in got] == [[2], [2], [0, 1, 2, 3, 4], []]
+
+
 def brute_components(prints, ids, bits=4):
     root = dict(zip(ids, ids))
 
