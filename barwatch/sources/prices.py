@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import csv
-from concurrent.futures import ThreadPoolExecutor
+import re
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barwatch.functions.checks import check_header, parse_symbol
+from barwatch.functions.checks import parse_symbol
 from barwatch.schema import OHLCV, PRICE_SCHEMA, SYMBOL
 from barwatch.session import one_file_each
 
@@ -27,23 +28,36 @@ PREVIEW_ROWS = 50
 DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "yyyyMMdd", "M/d/yyyy", "d.M.yyyy", "d-MMM-yyyy", "MMM d, yyyy")
 
 
-def csv_header(spark: SparkSession, file: str) -> list[str]:
-    """The first line's cells, read through Hadoop's file system without a job."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(file)
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(path.getFileSystem(conf).open(path), "UTF-8"))
-    try:
-        line = reader.readLine()
-    finally:
-        reader.close()
-    return next(csv.reader([line.lstrip("\ufeff")]), []) if line else []
+# The reader compares every file's header with the schema; without pruning, the whole of it.
+_READ = {"header": True, "enforceSchema": False, "columnPruning": False}
+_WRONG_HEADER = re.compile(r"(?:CSV header does not conform|Number of column in CSV header).*?CSV file: [^\n]+", re.S)
 
 
 def check_headers(spark: SparkSession, files: list[str]) -> None:
-    """Check the header of every file; only first lines are read."""
-    with ThreadPoolExecutor(16) as pool:
-        for header in pool.map(lambda file: csv_header(spark, file), files):
-            check_header(header)
+    """Check that every header is the six names, in order and spelling, each in a task that reads no further than the first row.
+
+    A session with its own settings, beside the caller's, gives each file one
+    partition; every partition stops at its first row, which is what crosses
+    to the one task of the limit.  The driver opens no file.
+    """
+    if not files:
+        return
+    beside = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(name) or not name.startswith("spark."):
+            beside.conf.set(name, value)
+    for name in ("maxPartitionBytes", "openCostInBytes"):
+        beside.conf.set(f"spark.sql.files.{name}", str(1 << 50))
+    beside.conf.set("spark.sql.caseSensitive", "true")
+    beside.conf.set("spark.sql.files.ignoreCorruptFiles", "false")
+    rows = beside.read.schema(_RAW_SCHEMA).options(**_READ).csv(files)
+    try:
+        rows.limit(1).agg(F.max("Date")).collect()
+    except (PySparkException, Py4JJavaError) as error:
+        wrong = _WRONG_HEADER.search(str(error))
+        if not wrong:
+            raise
+        raise ValueError(f"unexpected columns; price files have {OHLCV}. {wrong[0]}") from error
 
 
 def scan_prices(
@@ -55,7 +69,7 @@ def scan_prices(
     A folder, searched to any depth, may hold many symbols: as ``symbol=...``
     folders, or else each file's name without ``.csv`` is its symbol, up to the
     first ``cut`` if one is given.  ``symbol`` names them all.  The files whose
-    headers are checked are the files that are read.  ``intraday`` keeps the
+    headers are checked are the files that are read; a file of no bytes is none.  ``intraday`` keeps the
     time of day: ``Date`` is a timestamp, by which rows of one day are ordered.
     """
     return drop_undated(scan_rows(spark, path, symbol, cut, formats, intraday))
@@ -67,12 +81,11 @@ def scan_rows(
 ) -> DataFrame:
     """As :func:`scan_prices`, with the rows whose date is null as well."""
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
-    files = [row["path"] for row in listing.collect() if row["path"].lower().endswith(".csv")]
+    files = [row["path"] for row in listing.where(F.lower("path").endswith(".csv")).collect()]
     check_headers(spark, files)
     in_folders = bool(files) and all(f"/{SYMBOL}=" in file for file in files) and not path.lower().endswith(".csv")
     schema = T.StructType([*_RAW_SCHEMA, T.StructField(SYMBOL, T.StringType())]) if in_folders else _RAW_SCHEMA
-    # Without pruning, the reader checks the header's width and names as well.
-    reader = spark.read.schema(schema).options(header=True, enforceSchema=False, columnPruning=False)
+    reader = spark.read.schema(schema).options(**_READ)
     if in_folders:
         reader = reader.option("basePath", path)
     raw = reader.csv(files) if files else spark.createDataFrame([], schema)

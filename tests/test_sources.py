@@ -3,6 +3,7 @@
 import datetime as dt
 from concurrent.futures import ThreadPoolExecutor
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,6 +99,22 @@ def test_one_bad_file_in_a_folder_is_rejected(spark, tmp_path):
         px.scan_prices(spark, str(tmp_path))
 
 
+def test_headers_are_checked_in_tasks_at_the_first_row(spark, tmp_path):
+    files = [write(tmp_path, f"s{i}.csv", HEADER + "2020-01-02,1,1,1,1,1\n" * 300) for i in range(40)]
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    big = write(tmp_path, "big.csv", HEADER + "2020-01-02,1,1,1,1,1\n" * 2_000_000)
+    started = time.perf_counter()
+    px.check_headers(spark, [*files, big])
+    assert time.perf_counter() - started < 20 and spark.conf.get("spark.sql.files.openCostInBytes") == before
+    os.truncate(big, len(HEADER))
+    got = px.scan_prices(spark, str(tmp_path))
+    assert got.count() == 40 * 300 and got.select("symbol").distinct().count() == 40
+    for wrong in (HEADER.lower(), "Close," + HEADER, "Date,Close,High,Low,Open\n"):
+        write(tmp_path, "s9.csv", wrong)
+        with pytest.raises(ValueError, match="unexpected columns"):
+            px.scan_prices(spark, str(tmp_path))
+
+
 def test_file_without_rows(spark, tmp_path):
     path = write(tmp_path, "x.csv", HEADER)
     got = px.scan_prices(spark, str(path))
